@@ -6,7 +6,7 @@ held-out accuracy.
 
 from __future__ import annotations
 
-from reviewlode.llm import encoding_ops, language_ops, leaks, lookalike_ops, sentence_ops, tokens
+from reviewlode.llm import encoding_ops, language_ops, leaks, levels, lookalike_ops, personal_ops, sentence_ops, tokens
 
 QUERIES = {
     "p1_found": sentence_ops.p1_found,
@@ -17,10 +17,14 @@ QUERIES = {
     "p3_normalised": lookalike_ops.p3_normalised,
     "p6_found": encoding_ops.p6_found,
     "p6_restored": encoding_ops.p6_restored,
+    "p7_found": personal_ops.p7_found,
+    "p7_redacted": personal_ops.p7_redacted,
     "p8_ids": tokens.p8_ids,
     "p8_token_counts": tokens.p8_token_counts,
     "p9_found": leaks.p9_found,
     "p9_leaks": leaks.p9_leaks,
     "p9_items": leaks.p9_items,
+    "p10_found": levels.p10_found,
+    "p10_profile": levels.p10_profile,
 }
 ORACLE_SQL: dict[str, str] = {}
