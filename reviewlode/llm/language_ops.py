@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,25 +20,44 @@ def label_code(column: str) -> F.Column:
 
 
 def labelled_sample(df: DataFrame, key: str, text: str, label: str, size: int = L.SAMPLE) -> list[tuple[str, str]]:
-    """(language, text) of at most ``size`` labelled rows, the first by hash of the key; bounded by ``size``."""
-    rows = df.where(label_code(label).isin(_CODES) & (F.length(text) >= 8)).select(F.xxhash64(key).alias("h"), label, F.substring(text, 1, 400).alias("t"))
+    """(language, text) of at most ``size`` labelled rows, the first by hash of the key; bounded by ``size``.
+
+    Rows beyond a hash threshold that leaves about twice the sample are not
+    sorted, so that each task hands on a share of the sample, whatever the input.
+    """
+    share = min(1.0, 2.0 * size / max(1, df.count()))
+    df = df.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * share) + 1)
+    rows = df.where(label_code(label).isin(_CODES) & (F.length(text) >= 8)).select(F.xxhash64(key).alias("h"), label, F.substring(text, 1, 300).alias("t"))
     return [(L.canonical(r[label]), r.t) for r in rows.orderBy("h").limit(size).collect()]
 
 
-def segments(df: DataFrame, key: list[str], text: str, label: str | None, counts) -> DataFrame:
-    """One row per stretch of one language: key, seg_no, lang, confidence, n_segments."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(counts)
-    types = dict(df.dtypes)
+_CUTTERS: dict = {}
 
-    def make():
-        model = L.Ngrams(shared.value)
+
+def _cutter(token: str, parts):
+    """The cached segmenter of a worker; tasks of the same query share it."""
+    if token not in _CUTTERS:
+        _CUTTERS.clear()
+        model = L.Ngrams.unpacked(parts)
 
         @lru_cache(20_000)
         def cut(t, lab):
             s = L.stretches(t, model, lab)
             return [(i, lang, conf, len(s)) for i, (lang, conf) in enumerate(s, 1)]
 
+        _CUTTERS[token] = cut
+    return _CUTTERS[token]
+
+
+def segments(df: DataFrame, key: list[str], text: str, label: str | None, counts) -> DataFrame:
+    """One row per stretch of one language: key, seg_no, lang, confidence, n_segments."""
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, L.Ngrams(counts).packed()))
+    types = dict(df.dtypes)
+
+    def make():
+        cut = _cutter(*shared.value)
+
         def one(*values):
             *ids, t, lab = values
             return [(*ids, *s) for s in cut(t, lab)]

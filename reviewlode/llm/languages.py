@@ -43,7 +43,7 @@ CODES = {
 LANGS = tuple(CODES)
 _CANON = {c: k for k, v in CODES.items() for c in v.split()}
 #: Rows of the labelled sample.
-SAMPLE = 12_000
+SAMPLE = 8_000
 #: Log odds that a stretch must gain: inside a sentence, after a comma or colon, after a sentence.
 SWITCH = {"": 16.0, ",": 7.0, ".": 4.0}
 #: Penalty for each language beyond the first.
@@ -64,6 +64,10 @@ _SKIP = regex.compile(r"[\w.+-]+\s*[\[(]\s*at\s*[\])]\s*[\w-]+(?:\s*(?:[\[(]\s*d
 _TOKEN = regex.compile(
     r"(?P<th>[฀-๿]+)|(?P<cj>[々-〇぀-ヿ㐀-鿿]+)|(?P<w>[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*)|(?P<end>[.!?…。！？؟۔।\n]|[\U0001F300-\U0001FAFF☀-➿⭐])|(?P<mid>[,:;،，、؛(])"
 )
+_MAY_SKIP = regex.compile(r"[@#]|://|[\[(]\s*at\s*[\])]|\w\.[a-z]{2}")
+_RUN = regex.compile(r"[^\s]+")
+_WORDS = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
+_NO_BLANKS = regex.compile(r"[฀-๿々-〇぀-ヿ㐀-鿿]")
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -71,7 +75,9 @@ def tokens(text: str, named: list[int] | None = None) -> tuple[list[str], list[s
     """Words in lower case, and what stands before each one: '' / ',' / '.'; ``named`` gets the places of likely names."""
     words, before = [], []
     mark = "."
-    for m in _TOKEN.finditer(_SKIP.sub(" ", text)):
+    if _MAY_SKIP.search(text):
+        text = _SKIP.sub(" ", text)
+    for m in _TOKEN.finditer(text):
         kind = m.lastgroup
         if kind == "end":
             mark = "."
@@ -88,7 +94,7 @@ def tokens(text: str, named: list[int] | None = None) -> tuple[list[str], list[s
                 continue
             words.append(w)
             before.append(mark)
-            if named is not None and kind == "w" and mark != "." and len(w) > 1 and m.group()[0].isupper() and m.group()[1:].islower():
+            if mark != "." and named is not None and kind == "w" and m.group().istitle() and len(w) > 1:
                 named.append(len(words) - 1)
             mark = ""
     return words, before
@@ -124,9 +130,23 @@ class Ngrams:
         self.uni = self._table(uni, None)
         self.bi = self._table(bi, self.uni)
         self.tri = self._table(tri, self.bi)
+        self._ready()
+
+    def _ready(self):
         self.floor = np.full(len(LANGS), -13.0, dtype=np.float32)
         self.cache: dict[str, np.ndarray] = {}
 
+    def packed(self) -> list:
+        """The tables as keys and matrices, small to send."""
+        return [(list(t), np.array(list(t.values()), dtype=np.float32)) for t in (self.uni, self.bi, self.tri)]
+
+    @staticmethod
+    def unpacked(parts: list) -> Ngrams:
+        m = Ngrams.__new__(Ngrams)
+        m.uni, m.bi, m.tri = ({k: v for k, v in zip(keys, rows)} for keys, rows in parts)
+        m._ready()
+        return m
+
     @staticmethod
     def _table(by: dict[str, Counter], lower) -> dict[str, np.ndarray]:
         keys = {g for c in by.values() for g in c}
@@ -266,6 +286,25 @@ def choose(like: np.ndarray, pi: np.ndarray) -> list[int]:
         have = new
 
 
+def _single(like: np.ndarray, prior: str | None) -> tuple[str, float] | None:
+    """(language, confidence) if no stretch of another language could pay for itself, else None."""
+    if prior:
+        like[0, LANGS.index(prior)] += LABEL_PRIOR
+    c = like.cumsum(0)
+    total = c[-1]
+    k = int(total.argmax())
+    c = c - c[:, k : k + 1]
+    low = np.minimum.accumulate(c, axis=0)
+    if float((c - low).max()) > PENALTY or float(c.max()) > PENALTY:
+        return None
+    return LANGS[k], float(1.0 / np.exp(total - total[k]).sum())
+
+
+def _plain_run(m) -> str:
+    w = m.group()
+    return w if w.isascii() or not is_odd(w) else by_table(w)
+
+
 def stretches(text: str | None, model: Ngrams, label: str | None = None) -> list[tuple[str, float]]:
     """(language, confidence) of each longest stretch of one language, in text order."""
     if not text or not _LETTER.search(text):
@@ -273,8 +312,17 @@ def stretches(text: str | None, model: Ngrams, label: str | None = None) -> list
     if encoding.is_damaged(text):
         text = repaired(text, model)
     if not text.isascii() and is_odd(text):
-        text = regex.sub(r"[^\s]+", lambda m: by_table(m.group()) if is_odd(m.group()) else m.group(), text)
+        text = _RUN.sub(_plain_run, text)
         text = alone_by_table(text)
+    prior = canonical(label)
+    if text.isascii() or not _NO_BLANKS.search(text):
+        # most texts are in one language; these need neither marks nor names
+        fast = _WORDS.findall((_SKIP.sub(" ", text) if _MAY_SKIP.search(text) else text).lower())
+        if not fast:
+            return []
+        one = _single(model.words(fast), prior)
+        if one:
+            return [one]
     named: list[int] = []
     ws, before = tokens(text, named)
     if not ws:
@@ -282,18 +330,10 @@ def stretches(text: str | None, model: Ngrams, label: str | None = None) -> list
     like = model.words(ws)
     if named:
         like[named] *= NAMED
-    prior = canonical(label)
-    if prior:
-        like[0, LANGS.index(prior)] += LABEL_PRIOR
+    one = _single(like, prior)
+    if one:
+        return [one]
     total = like.sum(0)
-    k = int(total.argmax())
-    # can any stretch of another language pay for its switches?
-    c = np.cumsum(like - like[:, k : k + 1], axis=0)
-    low = np.minimum(np.minimum.accumulate(c, axis=0), 0.0)
-    rise = (c - low).max(0)
-    if rise.max() <= PENALTY:
-        rest = total - total[k]
-        return [(LANGS[k], float(1.0 / np.exp(np.minimum(rest, 0)).sum()))]
     langs = choose(like, mixture(like))
     if len(langs) == 1:
         return [(LANGS[langs[0]], float(1.0 / np.exp(np.minimum(total - total[langs[0]], 0)).sum()))]

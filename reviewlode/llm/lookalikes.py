@@ -100,22 +100,30 @@ def _wrong_arabic(text: str) -> bool:
     return False
 
 
+_FORM = regex.compile(f"[{_FORMS}]")
+_HIDE = regex.compile(f"[{_HIDDEN}]")
+_LATIN = regex.compile(r"[A-Za-zÀ-ɏ]")
+_OWN_CYRILLIC = regex.compile(f"(?![{''.join(k for k in LOOK if k in CYRILLIC)}])[а-яёА-ЯЁ]")
+_TO_CYRILLIC = {ord(v): k for k, v in CYRILLIC.items() if k in "аеорсухАВЕКМНОРСТХ"}
+
+
 def by_table(token: str) -> str:
     """A token with every look-alike, form and hidden character replaced by the plain one."""
     t = token.translate(_NUKTA)
-    t = regex.sub(f"[{_FORMS}]", lambda m: unicodedata.normalize("NFKC", m.group()), t)
-    t = regex.sub(f"[{_HIDDEN}]", "", t)
-    keep = {m.start() for m in _JOINS_HERE.finditer(t)}
-    t = "".join(c for i, c in enumerate(t) if c not in "\u200C\u200D" or i in keep)
+    t = _FORM.sub(lambda m: unicodedata.normalize("NFKC", m.group()), t)
+    t = _HIDE.sub("", t)
+    if "\u200C" in t or "\u200D" in t:
+        keep = {m.start() for m in _JOINS_HERE.finditer(t)}
+        t = "".join(c for i, c in enumerate(t) if c not in "\u200C\u200D" or i in keep)
     t = unicodedata.normalize("NFC", t)
     if _wrong_arabic(t):
         t = t.translate(ARABIC_TO_URDU if _URDU_ONLY.search(t) else URDU_TO_ARABIC)
-    latin = len(regex.findall(r"[A-Za-zÀ-ɏ]", t))
-    cyrillic = len(regex.findall(r"[а-яёА-ЯЁ]", t)) - len(regex.findall(f"[{''.join(k for k in LOOK if k in CYRILLIC)}]", t))
+    latin = len(_LATIN.findall(t))
+    cyrillic = len(_OWN_CYRILLIC.findall(t))
     if latin and cyrillic <= 0:
         t = t.translate(TO_LATIN)
     elif cyrillic > 0 and latin:
-        t = t.translate({ord(v): k for k, v in CYRILLIC.items() if k in "аеорсухАВЕКМНОРСТХ"})
+        t = t.translate(_TO_CYRILLIC)
     return t
 
 
