@@ -60,7 +60,7 @@ def segments(df: DataFrame, key: list[str], text: str, label: str | None, counts
 
         def one(*values):
             *ids, t, lab = values
-            return [(*ids, *s) for s in cut(t, lab)]
+            return [(*ids, *s) for s in cut(t, L.canonical(lab))]
 
         return one
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import regex
@@ -49,10 +50,13 @@ SWITCH = {"": 16.0, ",": 7.0, ".": 4.0}
 #: Penalty for each language beyond the first.
 PENALTY = 9.0
 LABEL_PRIOR = 2.0
+#: Words whose likelihoods a worker remembers.
+KEPT = 100_000
 #: Weight of a capitalised word inside a sentence, which may be a name.
 NAMED = 0.25
 
 
+@lru_cache(10_000)
 def canonical(label: str | None) -> str | None:
     """The two-letter code that a label means in any usual spelling, else None."""
     if not label:
@@ -134,7 +138,9 @@ class Ngrams:
 
     def _ready(self):
         self.floor = np.full(len(LANGS), -13.0, dtype=np.float32)
-        self.cache: dict[str, np.ndarray] = {}
+        #: Rows of words seen, by word; the matrix grows up to ``KEPT`` rows and then starts anew.
+        self.place: dict[str, int] = {}
+        self.seen = np.empty((1024, len(LANGS)), dtype=np.float64)
 
     def packed(self) -> list:
         """The tables as keys and matrices, small to send."""
@@ -168,30 +174,38 @@ class Ngrams:
         return out
 
     def word(self, w: str) -> np.ndarray:
-        got = self.cache.get(w)
-        if got is None:
-            rows = []
-            for g in grams(w):
-                row = self.tri.get(g)
+        rows = []
+        for g in grams(w):
+            row = self.tri.get(g)
+            if row is None:
+                row = self.bi.get(g[1:])
+                row = row - 1.0 if row is not None else self.uni.get(g[2:])
                 if row is None:
-                    row = self.bi.get(g[1:])
-                    row = row - 1.0 if row is not None else self.uni.get(g[2:])
-                    if row is None:
-                        row = self.floor
-                rows.append(row)
-            got = np.sum(rows, axis=0)
-            for pattern, others in _BY_SCRIPT:
-                if pattern.search(w):
-                    got = np.where(others, got[~others].max() - FOREIGN, got)
-                    break
-            got = np.maximum(got, got.max() - (FOREIGN if len(w) > 2 else FOREIGN / 3))  # one odd word decides nothing
-            if len(self.cache) > 100_000:
-                self.cache.clear()
-            self.cache[w] = got
-        return got
+                    row = self.floor
+            rows.append(row)
+        got = np.sum(rows, axis=0)
+        for pattern, others in _BY_SCRIPT:
+            if pattern.search(w):
+                got = np.where(others, got[~others].max() - FOREIGN, got)
+                break
+        return np.maximum(got, got.max() - (FOREIGN if len(w) > 2 else FOREIGN / 3))  # one odd word decides nothing
 
     def words(self, ws: list[str]) -> np.ndarray:
-        return np.array([self.word(w) for w in ws], dtype=np.float64).reshape(len(ws), len(LANGS))
+        place = self.place
+        try:
+            return self.seen[[place[w] for w in ws]]
+        except KeyError:
+            pass
+        if len(place) > KEPT:
+            place.clear()
+        for w in ws:
+            if w not in place:
+                n = len(place)
+                if n == len(self.seen):
+                    self.seen = np.concatenate([self.seen, np.empty_like(self.seen)])
+                self.seen[n] = self.word(w)
+                place[w] = n
+        return self.seen[[place[w] for w in ws]].reshape(len(ws), len(LANGS))
 
 
 def count_grams(rows: list[tuple[str, str]]) -> list[dict[str, Counter]]:
@@ -286,6 +300,11 @@ def choose(like: np.ndarray, pi: np.ndarray) -> list[int]:
         have = new
 
 
+# Texts with the letters of one language's own script alone; marks, digits, emoji and hidden characters go with any.
+_ANY = r"\x00-\x40\x5B-\x60\x7B-\x7F\u00A0-\u00BF\u2000-\u206F\u20A0-\u20BF\u2600-\u27BF\u2B50\uFE0F\uFEFF\u3000\u0964\u0965\U0001F300-\U0001FAFF"
+_OWN = regex.compile(rf"(?P<bn>[{_ANY}\u0980-\u09FF]+)|(?P<hi>[{_ANY}\u0900-\u097F]+)|(?P<th>[{_ANY}\u0E00-\u0E7F]+)|(?P<ru>[{_ANY}А-яЁё]+)")
+
+
 def _single(like: np.ndarray, prior: str | None) -> tuple[str, float] | None:
     """(language, confidence) if no stretch of another language could pay for itself, else None."""
     if prior:
@@ -305,17 +324,21 @@ def _plain_run(m) -> str:
     return w if w.isascii() or not is_odd(w) else by_table(w)
 
 
-def stretches(text: str | None, model: Ngrams, label: str | None = None) -> list[tuple[str, float]]:
+def stretches(text: str | None, model: Ngrams, prior: str | None = None) -> list[tuple[str, float]]:
     """(language, confidence) of each longest stretch of one language, in text order."""
     if not text or not _LETTER.search(text):
         return []
-    if encoding.is_damaged(text):
+    plain = text.isascii()
+    own = None if plain else _OWN.fullmatch(text)
+    if own:
+        return [(own.lastgroup, 1.0)]
+    if not plain and encoding.is_damaged(text):
         text = repaired(text, model)
-    if not text.isascii() and is_odd(text):
+        plain = text.isascii()
+    if not plain and is_odd(text):
         text = _RUN.sub(_plain_run, text)
         text = alone_by_table(text)
-    prior = canonical(label)
-    if text.isascii() or not _NO_BLANKS.search(text):
+    if plain or not _NO_BLANKS.search(text):
         # most texts are in one language; these need neither marks nor names
         fast = _WORDS.findall((_SKIP.sub(" ", text) if _MAY_SKIP.search(text) else text).lower())
         if not fast:
