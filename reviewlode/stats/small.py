@@ -59,35 +59,39 @@ def bimodality(counts: dict[float, int]) -> float | None:
 
 
 def dip(counts: dict[float, int]) -> float:
-    """Hartigans' dip of a distribution given by counts: the least distance to a unimodal distribution, by bisection on the mode.
+    """Hartigans' dip of a distribution given by counts: its least distance to a unimodal one, which may have an atom at its mode.
 
-    Distance of the empirical distribution to the best convex-then-concave one
-    within a band is found for each candidate mode; values are few, so all are
-    tried.
+    With the mode at a value, the best distribution is convex before and concave
+    after it; half the largest gap between the steps and their convex minorant
+    or concave majorant is the distance.  Values are few, so each is tried.
     """
     items = sorted((float(k), n) for k, n in counts.items() if n)
     total = sum(n for _, n in items)
     if len(items) < 2:
-        return 0.0 if not total else 1 / (2 * total)
+        return 1 / (2 * total) if total else 0.0
     x = np.array([k for k, _ in items])
-    upper = np.cumsum([n for _, n in items]) / total
-    lower = np.concatenate([[0.0], upper[:-1]])
+    up = np.cumsum([n for _, n in items]) / total
+    low = np.concatenate([[0.0], up[:-1]])
 
-    def convex_gap(xs, lo, up):
-        """Half the least band for which a convex function passes between the steps: greatest convex minorant of the tops."""
-        hull = []
-        for p in zip(xs, up):
+    def minorant(xs, ys):
+        hull: list[tuple[float, float]] = []
+        for p in zip(xs, ys):
             while len(hull) >= 2 and (hull[-1][1] - hull[-2][1]) * (p[0] - hull[-2][0]) >= (p[1] - hull[-2][1]) * (hull[-1][0] - hull[-2][0]):
                 hull.pop()
             hull.append(p)
-        minorant = np.interp(xs, [h[0] for h in hull], [h[1] for h in hull])
-        return max(0.0, float(np.max(up - minorant)))
+        return np.interp(xs, [h[0] for h in hull], [h[1] for h in hull])
+
+    def gap(xs, lows, ups):
+        """The half before the mode, which is the last value and may jump."""
+        g = minorant(xs, lows)
+        need = np.append(ups[:-1], lows[-1])
+        return float(np.max(need - g))
 
     best = math.inf
-    for i in range(len(x)):
-        left = convex_gap(x[: i + 1], lower[: i + 1], lower[: i + 1]) if i else 0.0
-        right = convex_gap(-x[i:][::-1], 1 - upper[i:][::-1], 1 - upper[i:][::-1]) if i < len(x) - 1 else 0.0
-        best = min(best, max(left, right))
+    for m in range(len(x)):
+        before = gap(x[: m + 1], low[: m + 1], up[: m + 1])
+        after = gap(-x[m:][::-1], 1 - up[m:][::-1], 1 - low[m:][::-1])
+        best = min(best, max(before, after))
     return max(best / 2, 1 / (2 * total))
 
 
