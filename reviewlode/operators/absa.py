@@ -17,13 +17,13 @@ WEIGHT_FLOOR = 0.05
 EVIDENCE = 3
 
 
-def sentences(reviews: DataFrame, key: str, column: str) -> DataFrame:
-    """key, sentence_index from 0, sentence."""
-    return reviews.select(key, F.posexplode(text.sentence_array(column)).alias("sentence_index", "sentence"))
+def sentences(reviews: DataFrame, key: str, column: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, carried columns, sentence_index from 0, sentence."""
+    return reviews.select(key, *carry, F.posexplode(text.sentence_array(column)).alias("sentence_index", "sentence"))
 
 
-def clauses(reviews: DataFrame, key: str, column: str) -> DataFrame:
-    return reviews.select(key, F.posexplode(text.clause_array(column)).alias("clause_index", "clause"))
+def clauses(reviews: DataFrame, key: str, column: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    return reviews.select(key, *carry, F.posexplode(text.clause_array(column)).alias("clause_index", "clause"))
 
 
 def tag_sentences(s: DataFrame, lexicon: dict[str, str]) -> DataFrame:
@@ -75,6 +75,21 @@ def request_rows(pairs: DataFrame, key: str) -> DataFrame:
     )
 
 
+def aspect_table(pairs: DataFrame, key: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Aspect rows and request rows in one aggregation, for pairs that hold p_neg, p_neu and p_pos already."""
+    said = ~F.col("is_request")
+    w = F.greatest(1 - F.col("p_neu"), F.lit(WEIGHT_FLOOR))
+    mean = lambda c: (F.sum(F.when(said, F.col(c) * w)) / F.sum(F.when(said & F.col(c).isNotNull(), w))).alias(c.replace("p_", "prob_"))
+    out = pairs.groupBy(key, "aspect", "is_request", *carry).agg(
+        mean("p_neg"), mean("p_neu"), mean("p_pos"),
+        F.count(F.lit(1)).alias("n_sentences"),
+        relational.first_texts("sentence", ["sentence_index"], EVIDENCE).alias("triggering_sentence"),
+        F.min_by("match_method", F.struct("match_method", "sentence_index")).alias("match_method"),
+        F.bool_or("has_negation").alias("has_negation"),
+    )
+    return out.withColumn("sentiment_label", scalars.argmax_label("prob_neg", "prob_neu", "prob_pos"))
+
+
 def once_per_text(df: DataFrame, text_column: str, score) -> DataFrame:
     """Scores of distinct texts; ``score`` maps a one-column DataFrame to texts with scores.  Expensive models see each text once."""
     return score(df.select(text_column).where(F.col(text_column).isNotNull()).distinct())

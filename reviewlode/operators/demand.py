@@ -14,11 +14,11 @@ def families(clauses: DataFrame, column: str = "clause") -> DataFrame:
     return patterns.tag(clauses, column, compiled, "request_type")
 
 
-def mine(reviews: DataFrame, key: str, column: str, lexicon: dict[str, str]) -> DataFrame:
-    """key, evidence_sentence, request_type, aspect; clauses without an aspect keep a null one; repeated rows count once."""
-    found = families(absa.clauses(reviews, key, column))
+def mine(reviews: DataFrame, key: str, column: str, lexicon: dict[str, str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, carried columns, evidence_sentence, request_type, aspect; clauses without an aspect keep a null one; repeated rows count once."""
+    found = families(absa.clauses(reviews, key, column, carry))
     tagged = patterns.tag(found, "clause", lexicon, "aspect", keep_unmatched=True)
-    return tagged.select(key, F.col("clause").alias("evidence_sentence"), "request_type", "aspect").distinct()
+    return tagged.select(key, *carry, F.col("clause").alias("evidence_sentence"), "request_type", "aspect").distinct()
 
 
 def flag_shared(demand: DataFrame, requests: DataFrame, key: str) -> DataFrame:

@@ -65,16 +65,18 @@ def scores(pairs_: DataFrame) -> DataFrame:
 
 
 def aspects(spark: SparkSession, d: str) -> DataFrame:
-    """Aspect rows with sentiment, and request rows without."""
-    p = pairs(spark, d)
-    scored = absa.aspect_rows(p, scores(p), "reviewId")
-    both = scored.unionByName(absa.request_rows(p, "reviewId"), allowMissingColumns=True)
-    return both.join(reviews(spark, d).select("reviewId", "app", "score"), "reviewId", "left")
+    """Aspect rows with sentiment, and request rows without; one scan, and one aggregation over the tagged sentences.
+
+    The scorer is an expression, so there is nothing to gain from scoring each
+    distinct sentence once; with a model use ``absa.once_per_text``.
+    """
+    s = absa.sentences(reviews(spark, d).where("corpus_text"), "reviewId", "text", ("app", "score"))
+    p = LexiconScorer()(absa.handle_requests(absa.tag_sentences(s, PATTERNS)))
+    return absa.aspect_table(p, "reviewId", ("app", "score"))
 
 
 def demands(spark: SparkSession, d: str) -> DataFrame:
-    r = reviews(spark, d).where("corpus_text")
-    return demand.mine(r, "reviewId", "text", PATTERNS).join(r.select("reviewId", "app", "score"), "reviewId")
+    return demand.mine(reviews(spark, d).where("corpus_text"), "reviewId", "text", PATTERNS, ("app", "score"))
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
