@@ -205,7 +205,7 @@ def _(spark, d):
 
 
 @query("cooccurrence_2x2", """, m AS (SELECT reviewId, coalesce(max(CASE WHEN aspect = 'ads' THEN 1 END), 0) AS x, coalesce(max(CASE WHEN aspect = 'ui' THEN 1 END), 0) AS y FROM (SELECT reviewId FROM r WHERE corpus_text) LEFT JOIN (SELECT * FROM a WHERE NOT is_request) USING (reviewId) GROUP BY reviewId)
-  SELECT sum(x * y)::BIGINT AS both, sum(x * (1 - y))::BIGINT AS only_a, sum((1 - x) * y)::BIGINT AS only_b, sum((1 - x) * (1 - y))::BIGINT AS neither, round((sum(x * y) / nullif(sum(y), 0)) / nullif(avg(x), 0), 6) AS lift FROM m""")
+  SELECT sum(x * y)::BIGINT AS both, sum(x * (1 - y))::BIGINT AS only_a, sum((1 - x) * y)::BIGINT AS only_b, sum((1 - x) * (1 - y))::BIGINT AS neither, round((sum(x * y) / nullif(sum(y), 0)) / nullif(avg(x), 0), 6) + 0.0 AS lift FROM m""")
 def _(spark, d):
     return r6(gaps.cooccurrence(B.reviews(spark, d).where("corpus_text"), B.aspects(spark, d).where("NOT is_request"), "reviewId", "ads", "ui"))
 
@@ -268,7 +268,7 @@ def _(spark, d):
 @query("source_agreement", """, c AS (SELECT aspect, csv_annotated >= 1 AS x, description_claimed AS y FROM f WHERE csv_annotated IS NOT NULL),
   g AS (SELECT aspect, count(*) AS n_apps, count(*) FILTER (x) AS csv_present, count(*) FILTER (y) AS description_present, avg((x = y)::INT) AS po, avg(x::INT) * avg(y::INT) + (1 - avg(x::INT)) * (1 - avg(y::INT)) AS pe,
     count(*) FILTER (x AND NOT y) AS description_misses, count(*) FILTER (NOT x AND y) AS description_overclaims FROM c GROUP BY aspect)
-  SELECT aspect, n_apps, csv_present, description_present, round(po, 6) AS agreement, description_misses, description_overclaims, round(CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) END, 6) AS cohens_kappa FROM g""")
+  SELECT aspect, n_apps, csv_present, description_present, round(po, 6) AS agreement, description_misses, description_overclaims, round(CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) END, 6) + 0.0 AS cohens_kappa FROM g""")
 def _(spark, d):
     return r6(promise.source_agreement(B.features(spark, d)))
 
@@ -328,7 +328,7 @@ def _(spark, d):
 
 @query("loyalty", """, k AS (SELECT app, count(DISTINCT CASE WHEN request_type = 'tenure' THEN reviewId END) AS tenure, count(DISTINCT CASE WHEN request_type = 'churn' THEN reviewId END) AS churn FROM d GROUP BY app)
   SELECT r.app, count(*) AS n, round(coalesce(any_value(k.tenure), 0) / count(*)::DOUBLE, 6) AS tenure_rate, round(coalesce(any_value(k.churn), 0) / count(*)::DOUBLE, 6) AS churn_rate, round(avg(thumbsUpCount), 6) AS mean_thumbs,
-  round(CASE WHEN count(*) > 100 AND count(CASE WHEN score IS NOT NULL THEN ts END) > 50 AND max(ts) > min(ts) THEN regr_slope(score, epoch_us(ts) / 86400000000.0) * 365 END, 6) AS score_slope FROM (SELECT * FROM r WHERE corpus_text) r LEFT JOIN k ON k.app = r.app GROUP BY r.app""")
+  round(CASE WHEN count(*) > 100 AND count(CASE WHEN score IS NOT NULL THEN ts END) > 50 AND max(ts) > min(ts) THEN regr_slope(score, epoch_us(ts) / 86400000000.0) * 365 END, 6) + 0.0 AS score_slope FROM (SELECT * FROM r WHERE corpus_text) r LEFT JOIN k ON k.app = r.app GROUP BY r.app""")
 def _(spark, d):
     return r6(gaps.loyalty(B.reviews(spark, d).where("corpus_text"), B.demands(spark, d)))
 
@@ -382,7 +382,7 @@ def _(spark, d):
 
 @query("version_flags", """, v AS (SELECT app, version, count(*) AS n, min(ts) AS first_seen, avg(score) AS mean_score, avg(CASE label WHEN 'Negative' THEN -1.0 WHEN 'Neutral' THEN 0.0 WHEN 'Positive' THEN 1.0 END) AS mean_sentiment, avg(CASE WHEN label = 'Negative' THEN 1.0 ELSE 0 END) AS pct_negative
     FROM (SELECT * EXCLUDE (version), split_part(version, '.', 1) AS version FROM r WHERE version IS NOT NULL) GROUP BY app, version HAVING count(*) >= 30), m AS (SELECT app, median(mean_sentiment) AS md FROM v GROUP BY app)
-  SELECT app, version, n, first_seen, round(mean_score, 6) AS mean_score, round(mean_sentiment, 6) + 0.0 AS mean_sentiment, round(pct_negative, 6) AS pct_negative, round(md, 6) AS app_median_sentiment, round(mean_sentiment - md, 6) AS sentiment_delta, coalesce(mean_sentiment - md < -0.15, FALSE) AS flagged_drop FROM v JOIN m USING (app)""")
+  SELECT app, version, n, first_seen, round(mean_score, 6) AS mean_score, round(mean_sentiment, 6) + 0.0 AS mean_sentiment, round(pct_negative, 6) AS pct_negative, round(md, 6) + 0.0 AS app_median_sentiment, round(mean_sentiment - md, 6) + 0.0 AS sentiment_delta, coalesce(mean_sentiment - md < -0.15, FALSE) AS flagged_drop FROM v JOIN m USING (app)""")
 def _(spark, d):
     r = B.reviews(spark, d).withColumn("version", F.element_at(F.split("version", r"\."), 1))
     return r6(temporal.versions(r).withColumn("first_seen", F.col("first_seen").cast("timestamp_ntz")))
@@ -398,7 +398,7 @@ def _(spark, d):
     return r6(temporal.interrupted(B.reviews(spark, d), hits, "reviewId", 2024, 1))
 
 
-@query("its_slope", ITS_SQL + " SELECT round(sum(n * (x - mx) * (rate - my)) / sum(n * (x - mx) * (x - mx)), 6) AS slope FROM (SELECT n, rate, months_from_event AS x, sum(n * months_from_event) OVER () / sum(n) OVER ()::DOUBLE AS mx, sum(n * rate) OVER () / sum(n) OVER () AS my FROM its2 WHERE months_from_event BETWEEN -12 AND 12)")
+@query("its_slope", ITS_SQL + " SELECT round(sum(n * (x - mx) * (rate - my)) / sum(n * (x - mx) * (x - mx)), 6) + 0.0 AS slope FROM (SELECT n, rate, months_from_event AS x, sum(n * months_from_event) OVER () / sum(n) OVER ()::DOUBLE AS mx, sum(n * rate) OVER () / sum(n) OVER () AS my FROM its2 WHERE months_from_event BETWEEN -12 AND 12)")
 def _(spark, d):
     hits = B.aspects(spark, d).where("aspect = 'subscription'")
     fit, _n = linear.weighted_trend(temporal.interrupted(B.reviews(spark, d), hits, "reviewId", 2024, 1), "rate", ["months_from_event"], "n")
@@ -425,12 +425,12 @@ def rated(spark, d):
 _KAPPA = """SELECT {g} count(*) AS n, avg((x = y)::INT) AS po, avg((x = 'Negative')::INT) * avg((y = 'Negative')::INT) + avg((x = 'Neutral')::INT) * avg((y = 'Neutral')::INT) + avg((x = 'Positive')::INT) * avg((y = 'Positive')::INT) AS pe FROM z WHERE x IS NOT NULL"""
 
 
-@query("kappa", _RATED + " SELECT round(CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) END, 6) AS cohens_kappa FROM (" + _KAPPA.format(g="") + ")")
+@query("kappa", _RATED + " SELECT round(CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) END, 6) + 0.0 AS cohens_kappa FROM (" + _KAPPA.format(g="") + ")")
 def _(spark, d):
     return r6(agreement.kappa(rated(spark, d), "x", "y", []))
 
 
-@query("kappa_by_app", _RATED + " SELECT app, round(CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) END, 6) AS cohens_kappa FROM (" + _KAPPA.format(g="app,") + " GROUP BY app)")
+@query("kappa_by_app", _RATED + " SELECT app, round(CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) END, 6) + 0.0 AS cohens_kappa FROM (" + _KAPPA.format(g="app,") + " GROUP BY app)")
 def _(spark, d):
     return r6(agreement.kappa(rated(spark, d), "x", "y", ["app"]))
 
@@ -447,7 +447,7 @@ def _(spark, d):
 
 
 @query("krippendorff", _RATED + """, m AS (SELECT c, count(*)::DOUBLE AS m FROM (SELECT x AS c FROM z WHERE x IS NOT NULL UNION ALL SELECT y FROM z WHERE x IS NOT NULL) GROUP BY c)
-  SELECT n, round(1 - (2 * diff / t) / ((t * t - sq) / (t * (t - 1))), 6) AS alpha FROM (SELECT count(*) AS n, count(*) FILTER (x <> y)::DOUBLE AS diff FROM z WHERE x IS NOT NULL), (SELECT sum(m) AS t, sum(m * m) AS sq FROM m)""")
+  SELECT n, round(1 - (2 * diff / t) / ((t * t - sq) / (t * (t - 1))), 6) + 0.0 AS alpha FROM (SELECT count(*) AS n, count(*) FILTER (x <> y)::DOUBLE AS diff FROM z WHERE x IS NOT NULL), (SELECT sum(m) AS t, sum(m * m) AS sq FROM m)""")
 def _(spark, d):
     return r6(agreement.krippendorff(rated(spark, d), "x", "y"))
 
@@ -479,12 +479,12 @@ def _(spark, d):
 
 
 @query("ari", _RATED + """, c AS (SELECT x, y, count(*)::DOUBLE AS n FROM z WHERE x IS NOT NULL GROUP BY x, y), i AS (SELECT sum(n * (n - 1) / 2) AS i, sum(n) AS t FROM c), u AS (SELECT sum(n * (n - 1) / 2) AS u FROM (SELECT sum(n) AS n FROM c GROUP BY x)), v AS (SELECT sum(n * (n - 1) / 2) AS v FROM (SELECT sum(n) AS n FROM c GROUP BY y))
-  SELECT t::BIGINT AS n, round((i - u * v / (t * (t - 1) / 2)) / ((u + v) / 2 - u * v / (t * (t - 1) / 2)), 6) AS ari FROM i, u, v""")
+  SELECT t::BIGINT AS n, round((i - u * v / (t * (t - 1) / 2)) / ((u + v) / 2 - u * v / (t * (t - 1) / 2)), 6) + 0.0 AS ari FROM i, u, v""")
 def _(spark, d):
     return r6(agreement.adjusted_rand(rated(spark, d), "x", "y"))
 
 
-@query("spearman", """, z AS (SELECT app, avg(score) AS x, avg(n_words) AS y FROM r GROUP BY app), k AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM z WHERE x IS NOT NULL AND y IS NOT NULL) SELECT count(*) AS n, round(corr(rx, ry), 6) AS rho FROM k""")
+@query("spearman", """, z AS (SELECT app, avg(score) AS x, avg(n_words) AS y FROM r GROUP BY app), k AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM z WHERE x IS NOT NULL AND y IS NOT NULL) SELECT count(*) AS n, round(corr(rx, ry), 6) + 0.0 AS rho FROM k""")
 def _(spark, d):
     z = B.reviews(spark, d).groupBy("app").agg(F.avg("score").alias("x"), F.avg("n_words").alias("y"))
     return r6(agreement.spearman(z, "x", "y"))
@@ -638,7 +638,7 @@ def _(spark, d):
     return B.reviews(spark, d).groupBy(F.least("n_words", F.lit(100)).cast("bigint").alias("words")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("fig_aspect_heatmap", """ SELECT app, """ + ", ".join(f"CASE WHEN count(*) FILTER (aspect = '{x.name}') >= 10 THEN round(avg(CASE WHEN aspect = '{x.name}' THEN prob_pos - prob_neg END), 6) END AS {x.name}" for x in B.LEXICON) + " FROM a WHERE NOT is_request GROUP BY app")
+@query("fig_aspect_heatmap", """ SELECT app, """ + ", ".join(f"CASE WHEN count(*) FILTER (aspect = '{x.name}') >= 10 THEN round(avg(CASE WHEN aspect = '{x.name}' THEN prob_pos - prob_neg END), 6) + 0.0 END AS {x.name}" for x in B.LEXICON) + " FROM a WHERE NOT is_request GROUP BY app")
 def _(spark, d):
     a = B.aspects(spark, d).where("NOT is_request").withColumn("v", scalars.valence("prob_pos", "prob_neg"))
     cells = [F.when(F.count_if(F.col("aspect") == x.name) >= 10, F.avg(F.when(F.col("aspect") == x.name, F.col("v")))).alias(x.name) for x in B.LEXICON]
