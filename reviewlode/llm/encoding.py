@@ -213,6 +213,22 @@ _TURNED_CASE = regex.compile(r"\b[а-яё][А-ЯЁ]{2,}\b")
 _CYR_CAPS = regex.compile(r"[А-ЯЁ]{3,}")
 
 
+_TWO_BYTE_RUN = regex.compile(r"[\u0080-ÿŒœŠšŸŽžƒˆ˜–—‘-„†‡•…‰‹›€™][\x40-\x7E\u0080-ÿŒœŠšŸŽžƒˆ˜–—‘-„†‡•…‰‹›€™]{5,}")
+
+
+def _japanese(text: str) -> bool:
+    """A run of marks and letters that is Japanese in its double byte code page."""
+    for m in _TWO_BYTE_RUN.finditer(text):
+        data = back_to_bytes(m.group(), "cp1252")
+        if data is None or sum(b > 127 for b in data) * 2 < len(data):
+            continue
+        t = data.decode("cp932", "replace")
+        good = sum(s in ("Kana", "Hani") for s in map(_script, t))
+        if good >= 3 and good >= 0.6 * len(t) and any(_script(c) == "Kana" for c in t) and _PLAIN_ONLY.fullmatch(t.rstrip("\uFFFD")):
+            return True
+    return False
+
+
 def _legacy(text: str) -> str:
     """'latin' / 'turkish' / 'cyrillic' if the text looks like one code page read as another, else ''."""
     run = _LATIN_RUN.search(text)
@@ -221,7 +237,7 @@ def _legacy(text: str) -> str:
         if n >= 4 or n >= len(text.strip()) / 2:
             # French and Turkish capitals do not come in words that are all accents
             return "latin"
-    if _HIGH_RUN.search(text):
+    if _HIGH_RUN.search(text) or _japanese(text):
         return "latin"
     if _TURKISH.search(text):
         return "turkish"
