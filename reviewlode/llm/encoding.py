@@ -186,7 +186,8 @@ def _double_ok(span: str) -> tuple[str, str] | None:
                 bad += 1
             elif ord(c) > 127:
                 good += 1
-        if good >= 2 and bad <= good / 2:
+        # two or three characters of two bytes may be chance: common words of Chinese read as Cyrillic
+        if good >= (2 if any(ord(c) >= 0x800 and c != "\uFFFD" for c in text) else 4) and bad <= good / 2:
             return text, w
         if good == 1 and not bad and ord(max(text)) >= 0x2010 and len(span.strip(" .,!?")) <= 3:
             return text, w

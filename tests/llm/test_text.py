@@ -74,7 +74,7 @@ def test_utf8_read_wrongly_is_found_and_restored(t, w):
     assert encoding.Restorer(model).restore(wrong) == (True, t)
 
 
-@pytest.mark.parametrize("t", [*TEXTS, None, "", "????", "Why?? Really?", "TRÈS DÉÇU, ÇA PLANTE À CHAQUE DÉMARRAGE", "Dice «¡Espere!» y", "«Подождите!» и всё", "12–14, costs £5 · ok", "ขอบคุณ", "کیا آپ"])
+@pytest.mark.parametrize("t", [*TEXTS, None, "", "????", "Why?? Really?", "TRÈS DÉÇU, ÇA PLANTE À CHAQUE DÉMARRAGE", "Dice «¡Espere!» y", "«Подождите!» и всё", "12–14, costs £5 · ok", "ขอบคุณ", "کیا آپ", "谢谢", "谢谢你们！", "谢谢\ufeff你们"])
 def test_clean_texts_are_not_damaged(t):
     assert encoding.is_damaged(t) == (t == "????")
 
