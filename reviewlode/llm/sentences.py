@@ -48,7 +48,7 @@ _CAND = regex.compile(
 _CLOSE = regex.compile(rf"[{regex.escape(CLOSERS)}]*")
 _TAIL = regex.compile(rf"(?:[^\S\r\n]*{_EMOJI})+")
 _SPACE = regex.compile(r"[^\S\r\n]*")
-_WORD_BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}.№]+$")
+_WORD_BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}\p{Cf}.№]+$")
 _QUOTES = {'"': '"', "“": "”", "«": "»", "‘": "’", "「": "」", "『": "』", "(": ")", "（": "）", "„": "“", "‹": "›", "[": "]"}
 _OPEN = regex.compile(r"[\"“«‘「『(（„‹\[]")
 _HAS = regex.compile(r"[\p{L}\p{N}]")
