@@ -115,3 +115,17 @@ def complaint_rate(reviews: DataFrame, features: DataFrame, aspects: DataFrame,
     bad = aspects.where((F.col("aspect") == aspect) & (F.col("sentiment_label") == "Negative")).groupBy("app").agg(F.countDistinct("reviewId").alias("bad_"))
     j = n.join(counts, "app").join(bad, "app", "left").fillna(0, ["bad_"])
     return j.select("app", "feature_count", (F.col("bad_") / F.col("n_")).alias(name))
+
+
+def tracker_tier(features: DataFrame, base: str, scored: str) -> DataFrame:
+    """Apps by whether they have a feature, and its extended form: none, plain, extended."""
+    have = lambda a: F.max(F.when((F.col("aspect") == a) & (F.col("feature_present") >= 1), 1).otherwise(0))
+    g = features.groupBy("app").agg(have(base).alias("b_"), have(scored).alias("s_"))
+    return g.select("app", F.when((F.col("b_") == 1) & (F.col("s_") == 1), "extended").when(F.col("b_") == 1, "plain").otherwise("none").alias("tier"))
+
+
+def pattern_2x2(reviews: DataFrame, text: str, a: str, b: str) -> DataFrame:
+    """Counts of the 2x2 table of two patterns over texts; null text matches neither."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    x, y = low.rlike(a), low.rlike(b)
+    return reviews.agg(F.count_if(x & y).alias("n_both"), F.count_if(x & ~y).alias("n_a"), F.count_if(~x & y).alias("n_b"), F.count_if(~x & ~y).alias("n_neither"))

@@ -61,3 +61,34 @@ def nearest(items: DataFrame, labels: DataFrame, k: int = 5) -> DataFrame:
     scored = F.transform(lit, lambda s: F.struct((-F.round(scalars.cosine(F.col("vector"), s["v"]), 9)).alias("c"), s["label"].alias("label")))
     best = items.select("item", F.posexplode(F.slice(F.array_sort(scored), 1, k)).alias("rank", "s"))
     return best.select("item", F.col("s.label").alias("label"), (-F.col("s.c")).alias("cosine"), (F.col("rank") + 1).alias("rank"))
+
+
+def name_stopwords(apps: DataFrame, name: str) -> DataFrame:
+    """Words of app names longer than two letters, to be left out of topic terms."""
+    low = F.regexp_replace(F.lower(name), r"\x{307}", "")  # the dot that a lower-case dotted I leaves behind
+    words = F.explode(F.split(low, r"[^\p{L}\p{N}]+")).alias("word")
+    return apps.where(F.col(name).isNotNull()).select(words).where(F.length("word") > 2).distinct()
+
+
+def tag_topics(topics: DataFrame, words: str, tags: dict[str, list[str]], name: str = "tags") -> DataFrame:
+    """Topics with the tags whose keywords their top words contain, joined by a bar; empty without any."""
+    low = F.lower(words)
+    hits = [F.when(F.greatest(*[low.contains(k.lower()).cast("int") for k in [*ks, ks[0]]]) == 1, F.lit(t)) for t, ks in tags.items() if ks]
+    return topics.withColumn(name, F.array_join(F.filter(F.array(*hits), lambda x: x.isNotNull()), "|") if hits else F.lit(""))
+
+
+def prefilter_recall(shortlist: DataFrame, gold: DataFrame) -> DataFrame:
+    """Share of gold (item, label) pairs that a shortlist holds, one row; null without gold."""
+    hit = gold.select("item", "label").distinct().join(shortlist.select("item", "label").distinct().withColumn("hit_", F.lit(1)), ["item", "label"], "left")
+    return hit.agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.count("hit_").cast("double"), F.count(F.lit(1))).alias("recall"))
+
+
+def submodels(df: DataFrame, key: str, embedding: str, subsets: dict[str, DataFrame], k: int, least: int = 200) -> DataFrame | None:
+    """Clusters within each subset of keys that has at least ``least`` rows; None if no subset is large enough."""
+    out = None
+    for name, keys in subsets.items():
+        part = df.join(keys.select(key).distinct(), key, "left_semi")
+        if part.limit(least).count() >= least:
+            got = cluster(part, key, embedding, k).withColumn("submodel", F.lit(name))
+            out = got if out is None else out.unionByName(got)
+    return out

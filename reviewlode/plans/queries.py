@@ -222,6 +222,23 @@ def _(spark, d):
     return gaps.same_group(B.pairs(spark, d), "reviewId", "sentence_index", "ads", "ui")
 
 
+@query("guilt_motivation_2x2", f" SELECT count(*) FILTER (x AND y) AS n_both, count(*) FILTER (x AND NOT y) AS n_a, count(*) FILTER (NOT x AND y) AS n_b, count(*) FILTER (NOT x AND NOT y) AS n_neither FROM (SELECT regexp_matches(lower(text), '{_q(_rex(patterns.GUILT))}') AS x, regexp_matches(lower(text), '{_q(_rex(patterns.MOTIVATION))}') AS y FROM r WHERE corpus_text)")
+def _(spark, d):
+    return gaps.pattern_2x2(B.reviews(spark, d).where("corpus_text"), "text", patterns.bounded(patterns.GUILT), patterns.bounded(patterns.MOTIVATION))
+
+
+@query("tracker_tier", """, t AS (SELECT app, CASE WHEN max(CASE WHEN aspect = 'tracker' THEN feature_present END) >= 1 THEN CASE WHEN max(CASE WHEN aspect = 'reminders' THEN feature_present END) >= 1 THEN 'extended' ELSE 'plain' END ELSE 'none' END AS tier FROM f GROUP BY app)
+  SELECT tier, count(*) AS n_reviews, round(avg(score), 6) AS mean_score FROM r JOIN t USING (app) GROUP BY tier""")
+def _(spark, d):
+    t = gaps.tracker_tier(B.features(spark, d), "tracker", "reminders")
+    return r6(B.reviews(spark, d).join(t, "app").groupBy("tier").agg(F.count(F.lit(1)).alias("n_reviews"), F.avg("score").alias("mean_score")))
+
+
+@query("app_name_stopwords", r" SELECT DISTINCT w AS word FROM (SELECT unnest(string_split_regex(lower(title), '[^\p{L}\p{N}]+')) AS w FROM app_metadata WHERE title IS NOT NULL) WHERE length(w) > 2", base=False)
+def _(spark, d):
+    return topics.name_stopwords(B.table(spark, d, "app_metadata"), "title")
+
+
 # ---------------------------------------------------------------- demand
 @query("demand_families", " SELECT reviewId, clause, request_type FROM fam")
 def _(spark, d):

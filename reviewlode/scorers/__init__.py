@@ -140,3 +140,23 @@ def compound_scorer(lexicon: dict[str, float], text: str = "sentence"):
         return texts.map(one)
 
     return score(F.col(text))
+
+
+class Routed:
+    """Scores sentences with the scorer of their language, the others with a default; languages come from a column."""
+
+    def __init__(self, by_language: dict[str, Scorer], default: Scorer, column: str = "lang"):
+        self.by_language, self.default, self.column = by_language, default, column
+
+    def __call__(self, sentences: DataFrame) -> DataFrame:
+        lang = F.coalesce(F.col(self.column), F.lit(""))
+        out = self.default(sentences.where(~lang.isin(*self.by_language)) if self.by_language else sentences)
+        for code, scorer in self.by_language.items():
+            out = out.unionByName(scorer(sentences.where(lang == code)))
+        return out
+
+
+def backstop(unmatched: DataFrame, score: Callable[[DataFrame], DataFrame], threshold: float = 0.75, least_words: int = 3) -> DataFrame:
+    """Aspects for sentences that no pattern matched: ``score`` adds aspect and zeroshot_score; scores at or over the threshold stay."""
+    long = unmatched.where(F.size(F.split(F.trim("sentence"), r"\s+")) >= least_words)
+    return score(long).where(F.col("zeroshot_score") >= threshold).withColumn("match_method", F.lit("zero_shot"))

@@ -105,3 +105,20 @@ def weighted_precision_interval(strata: list[tuple[int, int, float]], times: int
     draws = np.stack([r.binomial(n, k / n, size=times) / n for k, n, _ in strata])
     lo, hi = np.percentile(w @ draws / w.sum(), [2.5, 97.5])
     return float(lo), float(hi)
+
+
+def trend_band(x: list[float], y: list[float], at: list[float], times: int = 400, seed: int = 0) -> list[tuple[float, float, float]] | None:
+    """Fitted line at given places with a percentile band from resampled points; None under three points or without spread."""
+    a, b = np.array(x, float), np.array(y, float)
+    if len(a) < 3 or np.ptp(a) == 0:
+        return None
+    r = np.random.default_rng(seed)
+    slope, cut = np.polyfit(a, b, 1)
+    lines = []
+    for _ in range(times):
+        i = r.integers(0, len(a), len(a))
+        if np.ptp(a[i]):
+            m, c = np.polyfit(a[i], b[i], 1)
+            lines.append(m * np.array(at) + c)
+    lo, hi = np.percentile(lines, [2.5, 97.5], axis=0)
+    return [(float(slope * p + cut), float(u), float(v)) for p, u, v in zip(at, lo, hi)]

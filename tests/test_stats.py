@@ -152,3 +152,32 @@ def test_topics(spark):
     lab = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "label string, vector array<double>")
     it = spark.createDataFrame([(1, [2.0, 0.1])], "item int, vector array<double>")
     assert [r.label for r in topics.nearest(it, lab, 2).orderBy("rank").collect()] == ["a", "b"]
+
+
+def test_topic_helpers(spark):
+    t = spark.createDataFrame([(1, "compass map"), (2, "zzz")], "topic int, words string")
+    assert [r.tags for r in topics.tag_topics(t, "words", {"a": ["Compass"], "b": ["map", "x"], "c": []}).orderBy("topic").collect()] == ["a|b", ""]
+    short = spark.createDataFrame([(1, "a"), (1, "b")], "item int, label string")
+    gold = spark.createDataFrame([(1, "a"), (2, "a")], "item int, label string")
+    assert topics.prefilter_recall(short, gold).first().recall == 0.5 and topics.prefilter_recall(short, gold.limit(0)).first().recall is None
+    e = spark.createDataFrame([(i, [float(i % 2), 1.0]) for i in range(20)], "id int, v array<double>")
+    assert topics.submodels(e, "id", "v", {"small": e.limit(3)}, 2, 10) is None
+    assert topics.submodels(e, "id", "v", {"all": e}, 2, 10).count() == 20
+
+
+def test_trend_band():
+    got = small.trend_band([1, 2, 3, 4, 5], [1, 2, 3, 4, 5.5], [3.0])
+    assert got[0][1] <= got[0][0] <= got[0][2] and small.trend_band([1, 1, 1], [1, 2, 3], [1.0]) is None
+
+
+def test_routing_and_backstop(spark):
+    from reviewlode.scorers import LexiconScorer, Routed, backstop
+
+    other = LexiconScorer(["bon"], ["lent"])
+    other.name = "fr"
+    s = spark.createDataFrame([("good", "en"), ("bon", "fr"), ("x", None)], "sentence string, lang string")
+    got = {r.sentence: (r.sentiment_model, r.p_pos > 0) for r in Routed({"fr": other}, LexiconScorer())(s).collect()}
+    assert got == {"good": ("lexicon", True), "bon": ("fr", True), "x": ("lexicon", False)}
+    u = spark.createDataFrame([("one two three",), ("short",)], "sentence string")
+    kept = backstop(u, lambda df: df.withColumn("aspect", F.lit("a")).withColumn("zeroshot_score", F.lit(0.75))).collect()
+    assert [r.sentence for r in kept] == ["one two three"]
