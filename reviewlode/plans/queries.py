@@ -163,9 +163,8 @@ def _(spark, d):
 @query("aspect_aggregate", """ SELECT reviewId, aspect, round(prob_neg, 6) AS prob_neg, round(prob_neu, 6) AS prob_neu, round(prob_pos, 6) AS prob_pos, n_sentences, triggering_sentence, match_method, has_negation,
   CASE WHEN prob_neg >= prob_neu AND prob_neg >= prob_pos THEN 'Negative' WHEN prob_neu >= prob_pos THEN 'Neutral' ELSE 'Positive' END AS sentiment_label FROM scored""")
 def _(spark, d):
-    p = B.pairs(spark, d)
-    out = absa.aspect_rows(p, B.scores(p), "reviewId").drop("is_request")
-    return r6(out)
+    out = absa.aspect_table(LexiconScorer()(B.pairs(spark, d)), "reviewId")
+    return r6(out.where("NOT is_request").drop("is_request"))
 
 
 @query("request_rows", " SELECT reviewId, aspect, n_sentences, triggering_sentence, has_negation FROM a WHERE is_request")
