@@ -4,8 +4,9 @@ Generators with high recall propose spans that may overlap: e-mail addresses,
 numbers, street addresses and names.  Boosted trees, one for each kind, judge
 every span by its format and its context; thresholds calibrated on held-out
 examples select the spans to replace.  The trees are fitted on examples made
-from the phrase lists below; how often a word is part of a user's name is
-counted over all rows.
+from the phrase lists below; how often a word is part of a user's name, and with
+how many partners, is counted over all rows.  Names are proposed where a word is
+counted and where the words before introduce one, counted or not.
 
 Null, empty and plain texts have no span.  Texts are read whole; full width
 digits, look-alikes and hidden characters count as the plain ones.
@@ -43,6 +44,11 @@ NOT_NAMES = """surah sura surat sure sourate sūrah prophet nabi month ramadan s
 prayer tracker january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday""".split()
 STREET_WORDS = """street st road rd avenue ave lane ln drive dr close court ct square place boulevard blvd terrace crescent way house tower towers villa building apartments rue avenue impasse
 allée straße strasse str weg platz gasse calle avenida plaza carrera paseo jl jalan gang sok sokak cad caddesi mah mahallesi bulvarı""".split()
+# Words that follow an introduction or stand in user names and are no names.
+COMMON = """team everyone everybody there all folks developers developer dev support user users customer customers guys sir madam muslim student teacher happy sad glad new sorry sure please great good nice love anonymous guest deleted account
+reader night bird owl fan store the this that it we you very just using still back old best app apps not no yes hope thanks thank will our your my reviewer friend community brothers sisters brother sister equipo team équipe kunde nutzer
+لا غير ليس لم لن ما مسلم سعيد مستخدم أستخدم أحب في من على هذا التطبيق غلط نہیں صحیح مسلمان गलत नहीं सही मुस्लिम खुश ভুল নেই না ঠিক মুসলিম не нет неправильно мусульманин ไม่ ผิด""".split()
+_COMMON = frozenset(COMMON)
 _SETS = [frozenset(s) for s in (PHONE_CUES, ID_CUES, OTHER_CUES, NAME_CUES, HONORIFICS, NOT_NAMES, STREET_WORDS)]
 
 _AT = r"\s*(?:[\[({<]\s*(?:at|arroba|arobase|ät|et)\s*[\])}>]|＠|@)\s*"
@@ -67,7 +73,7 @@ ADDRESS = regex.compile(
     regex.X,
 )
 _NAMEWORD = r"(?:\p{Lu}\p{Ll}[\p{L}'’-]*|\p{Lu}{2,}|\p{Lu}\.)"
-NAME = regex.compile(rf"(?<![\p{{L}}@#._]){_NAMEWORD}(?:\s+{_NAMEWORD}){{0,3}}|(?<![\p{{L}}\p{{M}}])\p{{Lo}}[\p{{Lo}}\p{{M}}]+(?:\s+\p{{Lo}}[\p{{Lo}}\p{{M}}]+)?")
+NAME = regex.compile(rf"(?<![\p{{L}}@#._]){_NAMEWORD}(?:\s+{_NAMEWORD}){{0,3}}|(?<![\p{{L}}\p{{M}}])\p{{Lo}}[\p{{Lo}}\p{{M}}]+(?:\s+\p{{Lo}}[\p{{Lo}}\p{{M}}]+)*")
 #: A text without any of these holds no street or house.
 _MAY_ADDRESS = regex.compile(
     r"""(?i)\b(?:street|st|road|rd|avenue|ave|lane|drive|close|court|square|place|boulevard|blvd|terrace|crescent|row|walk|mews|gardens?|hills?|nagar|colony|villas?|tower|house|view|mill|way|flat|apt|apartment|unit|plot|suite|room
@@ -77,6 +83,19 @@ _MAY_ADDRESS = regex.compile(
 )
 # What introduces a name, and what introduces something else.
 _INTRO = regex.compile(r"(?i)(?:name is|i am|i'm|this is|hei(?:ß|ss)e|appelle|me llamo|soy|adım|nama saya|saya|зовут|اسمي|أنا|نام|नाम|নাম|regards,|yours,|wishes,|cheers,|hello|\bhi|dear|salam|ask|registered as|[–—-]|signed|thanks to|my (?:daughter|son|wife|husband|sister|brother|mother|father|friend|teacher))\s*$")
+_STATES = r"name\s+is|name['’]s|call\s+me|hei(?:ß|ss)e|name\s+ist|m['’]appelle|me\s+llamo|nombre\s+es|adım|ismim|nama\s+saya|bernama|зовут|мо[её]\s+имя"
+_STATES_LO = r"[إا]سمي(?:\s+هو)?|(?:میرا|میرے)\s+نام|मेरा\s+नाम|আমার\s+নাম|ชื่อ"
+_STATES_CJK = r"我叫|我的名字[是叫]|名前は"
+_STATED = regex.compile(rf"(?i)(?:{_STATES}|{_STATES_LO}|{_STATES_CJK})[\s:：]*$")
+_LO = r"\p{Lo}[\p{Lo}\p{M}]+"
+_CJK = r"[\p{Han}\p{Katakana}\p{Hiragana}ー]"
+#: What introduces a name, with the words after it that are shaped like one.
+INTRODUCED = regex.compile(
+    rf"""\b(?i:{_STATES}|i\s+am|i['’]m|this\s+is|soy|saya|regards,|yours,|wishes,|cheers,|hello|hi|dear|salam|ask|registered\s+as|signed|thanks\s+to|my\s+(?:daughter|son|wife|husband|sister|brother|mother|father|friend|teacher))[\s:]+({_NAMEWORD}(?:[^\S\n]+{_NAMEWORD}){{0,3}})
+    |(?<![\p{{L}}\p{{M}}])(?:{_STATES_LO})[\s:]+({_LO}(?:[^\S\n]+{_LO})?)
+    |(?:{_STATES_CJK})\s*({_CJK}{{1,8}}?(?:[\s・]{_CJK}{{1,8}}?)?)(?=です|といい|と言|と申|だ|[\p{{P}}\s]|$)""",
+    regex.X,
+)
 _AGAINST = regex.compile(r"(?i)(?:s[uo]u?ra[ht]?e?|surat|prophet|month of|prayer of|near|in|at|the|сура|سورة|سورۃ|सूरह|সূরা)\s*$")
 _FOLLOW = regex.compile(r"(?i)\s*(?:here\b|from\b|, tel|, id\b|, support|says|wrote|and i\b|et j|und brauche|ve yard|dan saya|y necesito|uses)")
 _PLACE = regex.compile(r"(?i)\s*(?:street|st\b|road|avenue|lane|house|mosque|masjid|city|hills|nagar|park|app\b|version|weg|stra)")
@@ -168,13 +187,14 @@ def number_features(text: str, a: int, b: int) -> list[float]:
     ]
 
 
-def name_features(text: str, a: int, b: int, given: np.ndarray, family: np.ndarray, whole: bool) -> list[float]:
+def name_features(text: str, a: int, b: int, given: np.ndarray, family: np.ndarray, whole: bool, partners: np.ndarray) -> list[float]:
     s = text[a:b]
     words = _P5.findall(s)
     before, after = _near(text, a, b)
     g = [math.log1p(float(given[name_bucket(w)])) for w in words] or [0.0]
     f = [math.log1p(float(family[name_bucket(w)])) for w in words] or [0.0]
     both = [max(x, y) for x, y in zip(g, f)]
+    with_ = [math.log1p(float(partners[name_bucket(w)])) for w in words] or [0.0]
     prev = text[:a].rstrip()[-1:]
     first = words[0].lower() if words else ""
     return [
@@ -182,6 +202,7 @@ def name_features(text: str, a: int, b: int, given: np.ndarray, family: np.ndarr
         float(bool(_P6.search(s))), float(first in _SETS[5] or first in _SETS[6]), float(any(w.lower() in _SETS[6] for w in words)),
         float(bool(_INTRO.search(text[max(0, a - 24) : a]))), float(bool(_AGAINST.search(text[max(0, a - 16) : a]))), float(bool(_FOLLOW.match(text[b : b + 16]))), float(bool(_PLACE.match(text[b : b + 12]))),
         float(whole), float(prev == ","), float(text[b : b + 1] in ",.!"), float(bool(_P7.search(s) is None and not s.isupper())),
+        max(with_), min(with_), float(bool(_STATED.search(text[max(0, a - 24) : a]))), float(any(w.lower() in _COMMON for w in words)),
         *_cues(before, after),
     ]
 
@@ -189,8 +210,10 @@ def name_features(text: str, a: int, b: int, given: np.ndarray, family: np.ndarr
 class Detector:
     """Candidate generators with one boosted model for numbers and names of each kind, and calibrated thresholds."""
 
-    def __init__(self, models: dict, given: np.ndarray, family: np.ndarray):
+    def __init__(self, models: dict, given: np.ndarray, family: np.ndarray, partners: np.ndarray | None = None):
+        """``partners``: with how many others a name word goes; without it, every counted word with several."""
         self.models, self.given, self.family = models, given, family
+        self.partners = np.where(np.maximum(given, family) > 0, 5, 0) if partners is None else partners
         self.known: dict[str, float] = {}
 
     def spans(self, text: str | None, whole_name: bool = False) -> list[tuple[int, int, str]]:
@@ -243,8 +266,17 @@ class Detector:
                     return []
             p, cut = self._score(t, a, a + len(s), True)
             return [(p, a, a + len(s), "name")] if p >= cut else []
+        for m in INTRODUCED.finditer(t):
+            a = m.start(m.lastindex)
+            ends = [a + w.end() for w in _P11.finditer(m[m.lastindex])]
+            for b in reversed(ends):  # the longest first: it wins where scores are equal
+                if any(x < b and a < y for x, y in taken):
+                    continue
+                p, cut = self._score(t, a, b, False)
+                if p >= cut:
+                    out.append((p, a, b, "name"))
         if not any(self._known(w) > 0.7 for w in _MAY_NAME.findall(t)):
-            return []
+            return out
         for m in NAME.finditer(t):
             a, b = m.span()
             if any(x < b and a < y for x, y in taken):
@@ -278,7 +310,7 @@ class Detector:
 
     def _score(self, t, a, b, whole):
         model, cut = self.models["name"]
-        return model.one(name_features(t, a, b, self.given, self.family, whole)), cut
+        return model.one(name_features(t, a, b, self.given, self.family, whole, self.partners)), cut
 
     def redact(self, text: str | None, whole_name: bool = False) -> str | None:
         """A text with typed placeholders for the spans; the rest stays as it is."""
@@ -296,6 +328,12 @@ class Detector:
 # Made-up words for the examples; real ones come from the corpus counts.
 _GIVEN = "Alda Bron Cyra Dovan Elka Fenn Gerta Hale Ivo Jessa Korin Luma Marek Neva Osric Petra Quin Rolf Sanna Tilo".split()
 _FAMILY = "Abernash Brikwell Corvand Dalmore Estrand Fallowin Grimsell Harvand Ilmari Jorwick Keldan Lorenth Mordane Nerwick Oslund".split()
+# Fixed pairs, words of fixed pairs that are no names, and names that nothing counts.
+_PAIR_GIVEN = "Orsel Tamsin Видана Ясмира نورين سهيمة তামিমা सुरेखा".split()
+_PAIR_FAMILY = "Wendrake Ashgrove Корленова Тальмина بنداري قطلاني মণ্ডলিয়া भारद्वानी".split()
+_PAIR_WORDS = "Happy Traveller Silent Garden Golden Lantern Morning Breeze Blue Harbour".split()
+_NEW_GIVEN = "Ulvar Mirel Радомир Зарема ماجدين هديلة শিউলিনা किरनिका".split()
+_NEW_FAMILY = "Tessing Holloran Ветлугова Шарымова الزرقان خليلوف চৌধরিনা मल्होरिया".split()
 _PHONES = ["+44 20 ddd dddd", "+1 ddd ddd dddd", "+9dd dd ddd dddd", "+ddddddddddd", "0dddddddddd", "0dddd dddddd", "0ddd-ddddddd", "(ddd) ddd-dddd", "ddd.ddd.dddd", "ddd-ddd-dddd", "+dd ddd-dddd-dddd", "+90 5dd ddd dd dd", "01ddd-dddddd", "00dd ddd dddddd", "0ddddddddd", "+dd (d) ddd ddd dd"]
 _IDS = ["ddddddddddd", "dddd dddd dddd", "ddddd-ddddddd-d", "ddd-dd-dddd", "dddddd-dd-dddd", "ZZddddddd", "dddddddddd", "Addddddd", "dddddddddddddddd", "dd.ddd.ddd-d", "ABddddddd", "ddddddddd", "dddd-dddd-dddd", "0ddddddddd", "0dddddddddd"]
 _OTHERS = ["dddddddd", "20ddddddd", "2024dddd", "dd/dd/2024", "2024-0d-1d", "d.dd.d", "dddd-dddd-dd", "2024-dddddd", "dd.dd.dddd", "dddddddddd", "ddd.ddd.ddd", "dddd dddd", "dd-ddddd-dd", "ddddddddddd"]
@@ -303,6 +341,7 @@ _PHONE_TEXT = ["Call me on {}", "my number is {} and", "phone: {}", "tel. {}", "
 _ID_TEXT = ["passport no. {} for", "my national ID {} before", "ID {}, but", "I typed {} as my ID number", "ID number {}", "NIK saya {} selalu", "Kimlik numaram {} kabul", "Meine Ausweisnummer {} wird", "Mon numéro de carte d'identité {}", "Mi DNI {} no", "Мой паспорт {} не", "رقم هويتي {} مرفوض", "میرا شناختی کارڈ نمبر {} ہے", "मेरा आधार नंबर {} है", "আমার জাতীয় পরিচয়পত্র নম্বর {}", "your request for ID {}", "my SSN {} was", "我的身份证号码{}", "パスポート番号 {} が", "Registered, ID {}, but", "CNIC {} rejected"]
 _OTHER_TEXT = ["Order {} was charged", "Invoice {} says", "Error code {} appears", "Build {} is", "order number {} never", "ticket {} closed", "version {} is", "receipt {} came", "Bestellung {} fehlt", "commande {} perdue", "pedido {} no", "Ref {} pending", "invoice number {}", "error {} on start", "It counts {} verses", "the code {} fails", "Sipariş {} yok", "Заказ {} пропал", "since {} it", "score {} of"]
 _NAME_TEXT = ["My name is {} and I", "I am {} from Xville", "Regards, {}.", "{} here, my mail", "Ask {}, tel. 1", "Hello {}! Your", "Dear {}, thanks", "Yours, {}", "Best wishes, {} from", "My daughter {} uses", "Registered as {}, ID", "Ich heiße {} und", "Je m'appelle {} et", "Me llamo {} y", "Benim adım {} ve", "Nama saya {} dan", "Меня зовут {}, и", "اسمي {} وأحتاج", "میرا نام {} ہے", "मेरा नाम {} है", "আমার নাম {} এবং", "– {}, support team", "Salam {}, may", "Thanks to {} for help", "{} from support wrote", "my wife {} likes it", "{} says hello", "Hi {}, please"]
+_STATED_TEXT = ["My name is {} and I", "My name is {}.", "Меня зовут {}, и", "Меня зовут {}, помогите", "اسمي {} وأحتاج", "میرا نام {} ہے", "मेरा नाम {} है", "আমার নাম {} এবং", "Me llamo {} y", "Ich heiße {} und", "Je m'appelle {}, et", "Benim adım {}."]
 _NOT_NAME_TEXT = ["Surah {} and Surah {} do", "Sourate {} ne", "the prayer of {}", "Prophet {} said", "near {} Avenue is", "{} Street is", "the {} House app", "{} Mosque is", "in {} City we", "{} Hills is missing", "Sura {} fehlt", "Surat {} tidak", "Surah {}"]
 
 
@@ -313,7 +352,12 @@ def _digits(pattern: str, r: random.Random) -> str:
 def examples(kind: str, n: int = 2400, seed: int = 7) -> tuple[list[list[float]], list[int], np.ndarray, np.ndarray]:
     """Features and labels of made-up spans for one model, at most ``n`` of them."""
     r = random.Random(seed)
-    given, family = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    given, family, partners = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for w in _GIVEN + _FAMILY:
+        partners[name_bucket(w)] = r.choice([2, 4, 12, 40])
+    for a, b in zip(_PAIR_GIVEN + _PAIR_WORDS[::2], _PAIR_FAMILY + _PAIR_WORDS[1::2]):
+        given[name_bucket(a)] = family[name_bucket(b)] = r.choice([3, 20, 200, 3000])
+        partners[name_bucket(a)] = partners[name_bucket(b)] = 1
     for w in _GIVEN:
         given[name_bucket(w)] = r.choice([3, 20, 200, 3000])
     for w in _FAMILY:
@@ -325,20 +369,27 @@ def examples(kind: str, n: int = 2400, seed: int = 7) -> tuple[list[list[float]]
             a, b = r.choice(_GIVEN), r.choice(_FAMILY)
             value = r.choice([f"{a} {b}", a, f"{a[0]}. {b}", b, f"{a} {b[0]}.", f"{a} {b}".upper()])
             whole = r.random() < 0.25
+            kind_of = r.random()  # a name that is counted with several partners, one in a fixed pair, one that is not counted
+            if kind_of < 0.3:
+                k = r.randrange(len(_PAIR_GIVEN))
+                a, b = (_PAIR_GIVEN[k], _PAIR_FAMILY[k]) if kind_of < 0.15 else (_NEW_GIVEN[k], _NEW_FAMILY[k])
+                value = f"{a} {b}" if whole else r.choice([f"{a} {b}", f"{a} {b}", a])
             if whole and good and r.random() < 0.3:
                 value = r.choice(["سلمى", "করিম", "健二", "सीमा"]) + " " + r.choice(["درويش", "সরকার", "山田", "वर्मा"])
             if whole:
-                value = value if good else r.choice(["Anonymous", "Guest", "Happy Bird", "Night Owl", "Deleted Account", "Reader", "Google User", "A Fan"])
+                value = value if good else r.choice(["Anonymous", "Guest", "Happy Bird", "Night Owl", "Deleted Account", "Reader", "Google User", "A Fan", "PixelFox", "SilentFan", "Moonlit"])
                 value = f"{b}, {a}" if good and r.random() < 0.2 else value
                 text, at = value, 0
             else:
-                template = r.choice(_NAME_TEXT if good else _NOT_NAME_TEXT)
+                template = r.choice((_NAME_TEXT if kind_of >= 0.3 else _STATED_TEXT + _NAME_TEXT[:12]) if good else _NOT_NAME_TEXT)
                 if not good and r.random() < 0.3:
                     # ordinary capitalised words that happen to be in no list of names
-                    value, template = r.choice(["Please", "Android", "Version", "Morning", "Kaaba", "Quillbury"]), r.choice(["{} works well", "on {} it fails", "We like {} a lot", "{}, why"])
+                    value, template = r.choice([*_PAIR_WORDS, "Please", "Android", "Version", "Morning", "Kaaba", "Quillbury"]), r.choice(["{} works well", "on {} it fails", "We like {} a lot", "{}, why"])
+                elif not good and r.random() < 0.3:
+                    value, template = r.choice(COMMON).capitalize(), r.choice(_NAME_TEXT + _STATED_TEXT)
                 text = template.replace("{}", value)
                 at = text.index(value)
-            x.append(name_features(text, at, at + len(value), given, family, whole))
+            x.append(name_features(text, at, at + len(value), given, family, whole, partners))
             y.append(int(good))
         else:
             which = r.choice(["phone", "id_number", "other"])

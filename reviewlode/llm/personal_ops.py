@@ -16,25 +16,31 @@ FIELDS = ("content", "replyContent", "userName")
 _MAYBE = r"[\p{Lu}\p{Lo}\p{Nd}@]"
 
 
-def name_counts(df: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """How often a word is the given and the family name in names of two words, over all rows, in buckets of a fixed number."""
+def name_counts(df: DataFrame, column: str, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """How often a word is the given and the family name in names of two words, over all rows, in buckets of a fixed number; only words with ``least`` partners."""
+    return name_statistics(df, column, least)[:2]
+
+
+def name_statistics(df: DataFrame, column: str, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As given and as family name the counts of each word, and with how many partners it goes."""
     name = r"^\s*(?:\p{Lu}[\p{L}\p{M}'’-]+\s+\p{Lu}[\p{L}\p{M}'’-]+|\p{Lo}[\p{Lo}\p{M}]+\s+\p{Lo}[\p{Lo}\p{M}]+)\s*$"
     pairs = df.where(F.col(column).rlike(name)).select(F.split(F.trim(F.lower(column)), r"\s+").alias("w"))
     both = pairs.groupBy("w").agg(F.count(F.lit(1)).alias("n")).select(
         "n", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("w")[0].alias("s")), F.struct(F.lit(1).alias("kind"), F.col("w")[1].alias("s")))).alias("e")
     )
-    # a name goes with several others; a fixed pair of words may be anything
-    words = both.groupBy("e.kind", "e.s").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("partners")).where("partners >= 2")
-    rows = words.groupBy("kind", (F.crc32(F.col("s").cast("binary")) % personal.BUCKETS).cast("int").alias("b")).agg(F.sum("n").alias("n")).toPandas()
-    out = (np.zeros(personal.BUCKETS, dtype=np.float32), np.zeros(personal.BUCKETS, dtype=np.float32))
+    # a name goes with several others; a fixed pair of words may be anything, so the partners are a feature
+    words = both.groupBy("e.kind", "e.s").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("partners")).where(F.col("partners") >= least)
+    rows = words.groupBy("kind", (F.crc32(F.col("s").cast("binary")) % personal.BUCKETS).cast("int").alias("b")).agg(F.sum("n").alias("n"), F.max("partners").alias("partners")).toPandas()
+    out = tuple(np.zeros(personal.BUCKETS, dtype=np.float32) for _ in range(3))
     for kind in (0, 1):
         part = rows[rows.kind == kind]
         out[kind][part.b.to_numpy()] = part.n.to_numpy()
+        np.maximum.at(out[2], part.b.to_numpy(), part.partners.to_numpy())
     return out
 
 
 def _spans(df: DataFrame, key: str, schema: str, make_row) -> DataFrame:
-    counts = name_counts(df, "userName")
+    counts = name_statistics(df, "userName")
     shared = df.sparkSession.sparkContext.broadcast((personal.train(), *counts))
     pairs = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in FIELDS])
     some = df.select(key, F.explode(pairs).alias("f")).select(key, "f.field_name", "f.text").where(F.col("text").rlike(_MAYBE))

@@ -92,6 +92,15 @@ def test_name_counts_need_partners(spark):
     assert given[name_bucket("Nadia")] == 2 and family[name_bucket("VELMOOR")] == 2 and given[name_bucket("happy")] == 0
 
 
+def test_name_statistics_keep_fixed_pairs(spark):
+    df = spark.createDataFrame([("Nadia Velmoor",), ("Nadia Okrambe",), ("Ольга Муршанова",), ("Ольга Муршанова",)], "userName string")
+    given, family, partners = personal_ops.name_statistics(df, "userName")
+    from reviewlode.llm.personal import name_bucket
+
+    assert given[name_bucket("Ольга")] == 2 and family[name_bucket("муршанова")] == 2
+    assert partners[name_bucket("Ольга")] == 1 and partners[name_bucket("Nadia")] == 2
+
+
 def test_token_frame(spark):
     if not os.path.exists(tokens.tokenizer_path()):
         pytest.skip("no vocabulary files here")

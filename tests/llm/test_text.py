@@ -218,6 +218,22 @@ def test_personal(detector, t, want):
     assert {k for *_, k in detector.spans(t)} == want
 
 
+def test_names_of_fixed_pairs_and_names_that_nothing_counts():
+    given_, family, partners = (np.zeros(personal.BUCKETS) for _ in range(3))
+    for a, b in (("ольга", "муршанова"), ("يوسف", "بنصرال"), ("happy", "traveller")):
+        given_[personal.name_bucket(a)] = family[personal.name_bucket(b)] = 250
+        partners[personal.name_bucket(a)] = partners[personal.name_bucket(b)] = 1
+    d = personal.Detector(personal.train(), given_, family, partners)
+    for t, want in (
+        ("Меня зовут Ольга Муршанова, помогите мне.", "Ольга Муршанова"),
+        ("اسمي يوسف بنصرال وأحتاج إلى مساعدة.", "يوسف بنصرال"),
+        ("My name is Torvik Halmedan and I need help.", "Torvik Halmedan"),
+    ):
+        assert [(t[a:b], k) for a, b, k in d.spans(t)] == [(want, "name")]
+    for t in ("Happy with it. Please help", "Hello Everyone, it works well", "اسمي لا يظهر"):
+        assert not d.spans(t)
+
+
 def test_redaction_keeps_the_rest(detector):
     assert detector.redact("Call me on ０３００-0000097 now") == "Call me on [PHONE] now"
     assert detector.spans("Nadia Velmoor", True) and not detector.spans("pixelmoon42", True) and not detector.spans("Anonymous", True)
