@@ -76,8 +76,8 @@ _NAMEWORD = r"(?:\p{Lu}\p{Ll}[\p{L}'’-]*|\p{Lu}{2,}|\p{Lu}\.)"
 NAME = regex.compile(rf"(?<![\p{{L}}@#._]){_NAMEWORD}(?:\s+{_NAMEWORD}){{0,3}}|(?<![\p{{L}}\p{{M}}])\p{{Lo}}[\p{{Lo}}\p{{M}}]+(?:\s+\p{{Lo}}[\p{{Lo}}\p{{M}}]+)*")
 #: A text without any of these holds no street or house.
 _MAY_ADDRESS = regex.compile(
-    r"""(?i)\b(?:street|st|road|rd|avenue|ave|lane|drive|close|court|square|place|boulevard|blvd|terrace|crescent|row|walk|mews|gardens?|hills?|nagar|colony|villas?|tower|house|view|mill|way|flat|apt|apartment|unit|plot|suite|room
-    |villa|rue|impasse|all[ée]e|chemin|quai|calle|avenida|avda?|plaza|carrera|paseo|jln?|jalan|gang|gg|sok|sokak|sokağı|cad|caddesi|mah|mahallesi|bulvarı)\b|(?:straße|strasse|str\.|weg|platz|gasse|allee)\s\d|ул|пр\.|пр-т|проспект|пер\.|шоссе|наб\.
+    r"""(?i)\b(?:street|st|road|rd|avenue|ave|lane|drive|close|court|square|place|boulevard|blvd|terrace|crescent|row|walk|mews|gardens?|hills?|nagar|colony|villas?|tower|house|view|mill|way|flat|apt|apartment|unit|plot|suite|room|h\.?\s?no
+    |villa|rue|impasse|all[ée]e|chemin|quai|calle|avenida|av(?:da)?|plaza|carrera|paseo|jln?|jalan|gang|gg|sok|sokak|sokağı|cad|caddesi|mah|mahallesi|bulvarı)\b|(?:straße|strasse|str\.|weg|platz|gasse|allee)\s+\d|ул|пр\.|пр-т|проспект|пер\.|шоссе|наб\.
     |شارع|حي\s|مکان|گھر|گلی|فلیٹ|سڑک|روڈ|سٹریٹ|اسٹریٹ|मकान|घर|फ्लैट|फ़्लैट|गली|प्लॉट|रोड|मार्ग|सड़क|स्ट्रीट|एवेन्यू|नगर|বাড়ি|বাড়ি|বাসা|ফ্ল্যাট|হোল্ডিং|রোড|সড়ক|সড়ক|লেন|গলি|স্ট্রিট|[路街巷弄道]\s*\d|丁目|番地|บ้านเลขที่|ถนน|ซอย|หมู่""",
     regex.X,
 )
@@ -108,7 +108,7 @@ _NEEDS_FLAT = regex.compile(r"[\u00AD\u200B-\u200F\u202A-\u202E\u2060-\u2064\uFE
 _ALIKE = regex.compile(r"[A-Za-z][аеорсухіοναικυ]|[аеорсухіοναικυ][A-Za-z]")
 _SAYS_AT = regex.compile(r"(?i)[\[({<]\s*(?:at|arroba|arobase|ät|et)\s*[\])}>]|\bat [a-z0-9-]+ dot ")
 _DIGIT = regex.compile(r"\d")
-_SEVEN = regex.compile(r"(?:\d[ ().\-/–]{0,2}){7}")
+_SEVEN = regex.compile(r"(?:\d[ ().\-/–]*+){7}")
 _BIG_ADDRESS = regex.compile(r"(?i)rue|jl\.|jalan|sok|cad|شارع|روڈ|रोड|मार्ग|রোড|সড়ক|ул|ถนน")
 
 
@@ -137,6 +137,22 @@ def flat(text: str) -> tuple[str, list[int] | None]:
     return t, at
 
 
+def may_email(t: str) -> bool:
+    """Whether a flat text may hold an e-mail address; false only where EMAIL matches nothing."""
+    return "@" in t or ("(" in t or "[" in t or "{" in t or "<" in t or " dot " in t.lower()) and _SAYS_AT.search(t) is not None
+
+
+def may_number(t: str) -> bool:
+    """Whether a flat text may hold a number of seven digits."""
+    digit = _DIGIT.search(t)
+    return digit is not None and _SEVEN.search(t, digit.start()) is not None
+
+
+def may_address(t: str) -> bool:
+    """Whether a flat text may hold a street address."""
+    return _DIGIT.search(t) is not None and _MAY_ADDRESS.search(t) is not None or _BIG_ADDRESS.search(t) is not None
+
+
 # Patterns of the features, compiled once.
 _P0 = regex.compile(r"\d+")
 _P1 = regex.compile(r"(?:19|20)\d{6}")
@@ -222,19 +238,17 @@ class Detector:
             return []
         t, at = flat(text)
         found: list[tuple[float, int, int, str]] = []
-        if "@" in t or ("(" in t or "[" in t or "{" in t or "<" in t or " dot " in t) and _SAYS_AT.search(t):
+        if may_email(t):
             found += [(2.0, m.start(), m.end(), "email") for m in EMAIL.finditer(t)]
         taken = [(a, b) for _, a, b, _ in found]
-        digit = _DIGIT.search(t)
-        has_digit = digit is not None and _SEVEN.search(t, digit.start()) is not None
-        if digit and _MAY_ADDRESS.search(t) or _BIG_ADDRESS.search(t):
+        if may_address(t):
             for m in ADDRESS.finditer(t):
                 s = m.group()
                 if any(c.isdigit() for c in s) or _BIG_ADDRESS.search(s):
                     if not any(a < m.end() and m.start() < b for a, b in taken):
                         found.append((1.5, m.start(), m.end(), "address"))
                         taken.append((m.start(), m.end()))
-        if has_digit:
+        if may_number(t):
             for m in NUMBER.finditer(t):
                 a, b = m.span()
                 if sum(c.isdigit() for c in m.group()) < 7 or any(x < b and a < y for x, y in taken):
@@ -275,7 +289,7 @@ class Detector:
                 p, cut = self._score(t, a, b, False)
                 if p >= cut:
                     out.append((p, a, b, "name"))
-        if not any(self._known(w) > 0.7 for w in _MAY_NAME.findall(t)):
+        if not any(self._known(w.rstrip("'’")) > 0.7 for w in _MAY_NAME.findall(t)):
             return out
         for m in NAME.finditer(t):
             a, b = m.span()

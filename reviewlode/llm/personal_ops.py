@@ -12,8 +12,6 @@ from reviewlode.llm import personal
 from reviewlode.llm.common import map_rows, table
 
 FIELDS = ("content", "replyContent", "userName")
-#: A text without any of these cannot hold a candidate.
-_MAYBE = r"[\p{Lu}\p{Lo}\p{Nd}@]"
 
 
 def name_counts(df: DataFrame, column: str, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +41,7 @@ def _spans(df: DataFrame, key: str, schema: str, make_row) -> DataFrame:
     counts = name_statistics(df, "userName")
     shared = df.sparkSession.sparkContext.broadcast((personal.train(), *counts))
     pairs = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in FIELDS])
-    some = df.select(key, F.explode(pairs).alias("f")).select(key, "f.field_name", "f.text").where(F.col("text").rlike(_MAYBE))
+    some = df.select(key, F.explode(pairs).alias("f")).select(key, "f.field_name", "f.text").where("text <> ''")
 
     def make():
         detector = personal.Detector(*shared.value)

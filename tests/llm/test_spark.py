@@ -101,6 +101,14 @@ def test_name_statistics_keep_fixed_pairs(spark):
     assert partners[name_bucket("Ольга")] == 1 and partners[name_bucket("Nadia")] == 2
 
 
+def test_lower_case_texts_reach_the_generators(spark, tmp_path):
+    rows = [(1, "write to prayer.fan[at]example[.]net", None, "leila.ost (at) example (dot) net"), (2, "mail leila ＠ example.net", "", "nadia velmoor")]
+    names = [(10 + i, None, None, f"{a} {b}") for i, (a, b) in enumerate([("Nadia", "Velmoor"), ("Nadia", "Okrambe"), ("Omar", "Velmoor")] * 20)]
+    spark.createDataFrame(rows + names, "row_id long, content string, replyContent string, userName string").write.parquet(f"{tmp_path}/reviews.parquet")
+    got = {tuple(r) for r in personal_ops.p7_found(spark, str(tmp_path)).where("row_id < 10").collect()}
+    assert got == {(1, "content", "email"), (1, "userName", "email"), (2, "content", "email"), (2, "userName", "name")}
+
+
 def test_token_frame(spark):
     if not os.path.exists(tokens.tokenizer_path()):
         pytest.skip("no vocabulary files here")

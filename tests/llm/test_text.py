@@ -234,6 +234,29 @@ def test_names_of_fixed_pairs_and_names_that_nothing_counts():
         assert not d.spans(t)
 
 
+@pytest.mark.parametrize(
+    "t, generator, gate",
+    [
+        ("leila.ost (at) example (dot) net", personal.EMAIL, personal.may_email),
+        ("prayer.fan[at]example[.]net", personal.EMAIL, personal.may_email),
+        ("leila ＠ example.net", personal.EMAIL, personal.may_email),
+        ("leila at example dot net", personal.EMAIL, personal.may_email),
+        ("LEILA AT EXAMPLE DOT NET", personal.EMAIL, personal.may_email),
+        ("leila At example Dot net", personal.EMAIL, personal.may_email),
+        ("(0441) (12) 3456", personal.NUMBER, personal.may_number),
+        ("+44 20 7946 0958", personal.NUMBER, personal.may_number),
+        ("H.No. 45", personal.ADDRESS, personal.may_address),
+        ("Av. Juárez 12", personal.ADDRESS, personal.may_address),
+        ("Lindenweg  12", personal.ADDRESS, personal.may_address),
+        ("переулок Лесной 4", personal.ADDRESS, personal.may_address),
+        ("人民路 12号", personal.ADDRESS, personal.may_address),
+    ],
+)
+def test_matches_of_the_generators_pass_the_gates(t, generator, gate):
+    flat = personal.flat(t)[0]
+    assert generator.search(flat) and gate(flat)
+
+
 def test_redaction_keeps_the_rest(detector):
     assert detector.redact("Call me on ０３００-0000097 now") == "Call me on [PHONE] now"
     assert detector.spans("Nadia Velmoor", True) and not detector.spans("pixelmoon42", True) and not detector.spans("Anonymous", True)
