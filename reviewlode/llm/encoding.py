@@ -13,7 +13,8 @@ bytes.
 *Restoration* (``Restorer``): a damaged span becomes a lattice of bytes with
 wildcards for the lost ones.  A Viterbi search over the lattice, scored by
 character pairs of the corpus and re-ranked by the corpus word frequencies,
-gives the text that was most probably written.
+gives the text that was most probably written.  Lost bytes stay marked where no
+reading is a known word that is more probable than all others together.
 
 Null, empty and clean texts give no span.  Texts of any length are read whole.
 """
@@ -322,8 +323,52 @@ class Model:
 
 
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
-_LATIN_LOST = "àâäáçèéêëíìîïñóôöòúùûüğışßœ"
-_CYR_LOST = "абвгдежзийклмнопрстуфхцчшщъыьэюяё"
+_LATIN = "abcdefghijklmnopqrstuvwxyzàâäáçèéêëíìîïñóôöòúùûüğışßœ"
+_CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюяё"
+_letters = lambda lo, hi: "".join(c for c in map(chr, range(lo, hi)) if unicodedata.category(c)[0] in "LM" and _PLAIN_ONLY.fullmatch(c))
+#: The letters that a lost one may be, by the script of the word.
+ALPHABETS = {"Latn": _LATIN, "Cyrl": _CYRILLIC, "Arab": _letters(0x620, 0x700), "Deva": _letters(0x900, 0x980), "Beng": _letters(0x980, 0xA00), "Thai": _letters(0xE00, 0xE80), "Kana": _letters(0x3040, 0x3100), "Hani": _letters(0x3400, 0xA000)}
+#: Code pages of one byte a character under which a lost byte is a lost letter.
+SINGLE = ("cp1252", "cp1254", "cp1251", "koi8_r", "cp1256", "cp874")
+
+
+_TOKEN = regex.compile("[^ \t\r\n“”\"]*�[^ \t\r\n“”\"]*")
+#: In place of a code page: one mark of loss stands for a whole character, as decoders put it.
+WHOLE = "whole"
+
+
+def _encoded(c: str, page: str) -> bytes | tuple[int] | None:
+    if page == WHOLE:
+        return (ord(c),)
+    try:
+        return c.encode(page)
+    except UnicodeEncodeError:
+        return None
+
+
+@lru_cache(64)
+def _alphabet(page: str, scripts: frozenset) -> dict[int, list[tuple[bytes | tuple[int], str]]]:
+    """The letters of some scripts by their number of bytes under a code page."""
+    out: dict[int, list[tuple[bytes | tuple[int], str]]] = {}
+    for c in sorted({c for s in scripts for c in ALPHABETS[s]}):
+        b = _encoded(c, page)
+        if b:
+            out.setdefault(len(b), []).append((b, c))
+    return out
+
+
+@lru_cache(20_000)
+def _options(cell: tuple, page: str, scripts: frozenset) -> tuple[str, ...]:
+    """The characters that some bytes, None for a lost one, may be under a code page."""
+    if None not in cell:
+        try:
+            c = chr(cell[0]) if page == WHOLE else bytes(cell).decode(page)
+        except UnicodeDecodeError:
+            return ()
+        return (c,) if len(c) == 1 and _PLAIN_ONLY.fullmatch(c) else ()
+    if len(cell) > 2 and set(cell) == {None} and "Hani" in scripts:
+        return ()  # one of thousands
+    return tuple(c for b, c in _alphabet(page, scripts).get(len(cell), ()) if all(x is None or x == y for x, y in zip(cell, b)))
 
 
 class Restorer:
@@ -352,22 +397,67 @@ class Restorer:
                     best, score = new, s - s0
         return best
 
-    def _fill(self, token: str) -> str:
-        """The likeliest characters for the wildcards of one token: beam Viterbi over character pairs, then word counts."""
-        cyr = sum("а" <= c <= "я" for c in token.lower())
-        alphabet = _CYR_LOST if cyr else _LATIN_LOST
-        low = " " + token.lower() + " "
-        beam = [(0.0, " ")]
-        for i, c in enumerate(low[1:], 1):
-            nxt = []
-            for s, t in beam:
-                for x in alphabet if c == "�" else c:
-                    nxt.append((s + self.model.pair(t[-1], x), t + x))
-            nxt.sort(reverse=True)
-            beam = nxt[: self.beam]
-        best = max(beam, key=lambda b: b[0] + 2.0 * self.model.in_words(b[1]))[1].strip()
-        out = [b if a == "�" else a for a, b in zip(token, best)]
-        return "".join(out)
+    def _paths(self, data: list[int | None], page: str, scripts: frozenset, base: bool) -> list[tuple[float, str]]:
+        """Viterbi over a lattice of bytes, None for a lost one: the likeliest texts under a code page with their pair likelihoods."""
+        n = len(data)
+        at: list[list[tuple[float, str]]] = [[] for _ in range(n + 1)]
+        at[0] = [(0.0, "")]
+        for i in range(n):
+            if not at[i]:
+                continue
+            beam = sorted(at[i], reverse=True)[: self.beam]
+            for k in range(1, min(4 if page == "utf-8" else 1, n - i) + 1):
+                options = _options(tuple(data[i : i + k]), page, scripts)
+                if not base and data[i] is None:
+                    options = tuple(c for c in options if not c.isascii())
+                for p, t in beam:
+                    last = t[-1].lower()[-1] if t and _WORD.fullmatch(t[-1]) else " "
+                    for c in self._after(last, options) if len(options) > 500 else options:
+                        at[i + k].append((p + self.model.pair(last, c.lower()[-1]) if _WORD.fullmatch(c) else p, t + c))
+        return sorted(at[n], reverse=True)[: self.beam]
+
+    @lru_cache(5_000)  # noqa: B019
+    def _after(self, a: str, options: tuple[str, ...]) -> list[str]:
+        """Of very many characters those that follow another one in the corpus."""
+        return [c for c in options if self.model.pairs[bucket(a + c)] > 0]
+
+    def _known(self, t: str) -> bool:
+        """Whether every word of a text and every pair of its letters is in the corpus."""
+        found = _WORD.findall(t.lower())
+        return bool(found) and all(self.model.words[bucket(w)] > 0 and all(self.model.pairs[bucket(a + b)] > 0 for a, b in zip(f" {w} ", f"{w} ")) for w in found)
+
+    def fill(self, token: str, base: bool = False) -> str | None:
+        """A token with lost bytes as it was most probably written, or None if no reading wins; ``base``: a letter of ASCII may be lost as well."""
+        lattices = []
+        for w in WRONG_SINGLE:  # UTF-8 that was read with a code page
+            if any("�" in m.group() for m in UTF8_IN[w].finditer(token)):
+                data = [None if c == "�" else ord(c) if ord(c) < 128 else REVERSE[w].get(c, -1) for c in token]
+                if -1 not in data:
+                    lattices += [(data, "utf-8", frozenset([s])) for s in ALPHABETS]
+        own = frozenset(s for s in map(_script, token) if s in ALPHABETS)
+        if own & {"Kana", "Hani"}:
+            own |= {"Kana", "Hani"}
+        for page in ("utf-8", WHOLE, *SINGLE):  # bytes that were lost when the text was read
+            data = []
+            for c in token:
+                b = [None] if c == "�" else _encoded(c, page)
+                if b is None:
+                    break
+                data += b
+            else:
+                if own:
+                    lattices.append((data, page, own))
+        found: dict[str, float] = {}
+        for data, page, scripts in lattices:
+            for p, t in self._paths(data, page, scripts, base):
+                if self._known(t):
+                    found[t] = max(found.get(t, -1e9), p + 2.0 * self.model.in_words(t))
+        if not found:
+            return None
+        best = max(found, key=found.get)
+        if sum(math.exp(p - found[best]) for p in found.values()) > 2:
+            return None  # others together are as probable
+        return best.upper() if len(best) == len(token) and token.isupper() and sum(map(str.isalpha, token)) > 1 else best
 
     def restore(self, text: str) -> tuple[bool, str | None]:
         """(damaged, restored text or None where nothing can be known any more)."""
@@ -390,7 +480,9 @@ class Restorer:
         if how:
             new = self.legacy(new, how) or new
         if "�" in new:
-            new = regex.sub(r"(?<=\p{L})�(?=(?:s|t|re|ve|d|m|ll)(?!\p{L}))", "’", new)
+            new = regex.sub(r"(?<=\p{L})�(?=(?:s|t|re|d|m|ll)(?!\p{L}))|(?<=\b(?i:i|we|you|they|could|should|would|might|must|who))�(?=ve(?!\p{L}))", "’", new)
             new = regex.sub(r"(?<!\S)�(\p{L}[^�\n]{0,40}\p{L})�(?=[\s.,!?]|$)", "“\\1”", new)
-            new = regex.sub(r"\p{L}[\p{L}\p{M}�]*(?<=\p{L}.*)�[\p{L}\p{M}�]*|[�]+\p{L}[\p{L}\p{M}�]*", lambda m: self._fill(m.group()), new)
+            new = _TOKEN.sub(lambda m: self.fill(m.group()) or m.group(), new)
+            # decoders lose no letter of ASCII: only where nothing else is known, and not at the end, where a mark may have been
+            new = _TOKEN.sub(lambda m: regex.search(r"�(?!\p{L})", m.group()) is None and self.fill(m.group(), True) or m.group(), new)
         return True, new if new != text else None

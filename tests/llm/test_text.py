@@ -93,6 +93,31 @@ def test_lost_characters_come_from_the_corpus():
     assert encoding.Restorer(encoding.Model(words, pairs)).restore("Oraci�n F�cil") == (True, "Oración Fácil")
 
 
+@pytest.mark.parametrize(
+    "t, want",
+    [
+        ("الص�اة", "الصلاة"),  # a letter
+        ("الص��اة", "الصلاة"),  # or its two bytes
+        ("ন�মাজ", "নামাজ"),
+        ("प्र�र्थना", "प्रार्थना"),
+        ("мол�тва", "молитва"),
+        ("O�ación", "Oración"),
+        ("祈祷�间", "祈祷时间"),
+        ("OraciÃ�n", "Oración"),
+        ("Ð¼Ð¾Ð»Ð¸Ñ�Ð²Ð°", "молитва"),
+        ("ج��ق�", None),
+        ("���", None),
+    ],
+)
+def test_lost_bytes_come_back_in_their_own_script(t, want):
+    words, pairs = np.zeros(encoding.N_BUCKETS), np.zeros(encoding.N_BUCKETS)
+    for w in ("الصلاة", "নামাজ", "प्रार्थना", "молитва", "oración", "祈祷时间"):
+        words[encoding.bucket(w)] += 50
+        for a, b in zip(f" {w} ", f"{w} "):
+            pairs[encoding.bucket(a + b)] += 50
+    assert encoding.Restorer(encoding.Model(words, pairs)).restore(t) == (True, want)
+
+
 @pytest.mark.parametrize("t", ["ｍｕｃｈ", "cοver", "Му whоlе", "th​at", "a b", "ofﬂine", "été", "⽤了", "ｱﾌﾟﾘ", "wid­get", "версиa", "ميں ہے", "no﻿t"])
 def test_odd_texts(t):
     assert lookalikes.is_odd(t)
