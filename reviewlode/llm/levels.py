@@ -42,7 +42,7 @@ LONG = 7
 _WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’-][\p{L}\p{M}]+)*")
 _TAG = regex.compile(r"</?[A-Za-z][^<>]{0,200}>")
 _BULLET = regex.compile(r"^[\s\-*•#>\d.)]+")
-_END = regex.compile(r"[.!?…:;]['\"”’»)\]]*\s*$")
+_END = regex.compile(r"[.!?…:;。！？।॥؟۔]['\"”’»)\]]*\s*$")
 
 
 def units(text: str, grams: frozenset, voc: frozenset = frozenset()) -> list[list[str]]:
@@ -61,8 +61,9 @@ def units(text: str, grams: frozenset, voc: frozenset = frozenset()) -> list[lis
             p = plain_words(s)
             if any(tuple(p[i : i + RUN]) in grams for i in range(len(p) - RUN + 1)):
                 continue  # of a test item
-        if len(words) > 3 * RUN_WORDS and not _END.search(s[:-1]):
-            out += [words[i : i + RUN_WORDS] for i in range(0, len(words) - RUN_WORDS // 2, RUN_WORDS)]
+        if len(words) > 3 * RUN_WORDS and not _END.search(s):
+            starts = list(range(0, len(words) - RUN_WORDS // 2, RUN_WORDS))
+            out += [words[i:j] for i, j in zip(starts, [*starts[1:], len(words)])]  # a short rest goes with the last run
         else:
             out.append(words)
     return out

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from reviewlode.llm import encoding, leaks, lookalikes, personal, sentences, tokens
+from reviewlode.llm import encoding, leaks, levels, lookalikes, personal, sentences, tokens
 
 
 def cut(t):
@@ -293,3 +293,11 @@ def test_boosting_is_accurate_on_held_out_examples():
         model, cut_ = personal.train()[kind]
         guess = np.array([model.one(r) >= cut_ for r in x])
         assert (guess == np.array(y)).mean() > 0.93
+
+
+def test_long_sentences_are_one_unit_and_runs_keep_every_word():
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(47)]
+    for end in (".", "?", "!”"):
+        assert levels.units(" ".join(words) + end, frozenset()) == [words]
+    runs = levels.units(" ".join(words), frozenset())
+    assert len(runs) == 3 and sum(runs, []) == words
