@@ -21,6 +21,7 @@ text.  Ties in the delivery order are broken by place.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +47,15 @@ def _placed(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return df.select(*columns, F.xxhash64("_metadata.file_path").alias("file_"), F.col("_metadata.row_index").alias("pos_"))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """A result that is read several times, written once to the shared checkpoint folder where the cluster names one."""
+    sc = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder and not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return df.checkpoint() if sc.getCheckpointDir() else df
+
+
 @dataclass
 class KeepVectors:
     """Bitmaps of the rows to keep of the Parquet table at ``path``: file_, block_, keep_."""
@@ -56,11 +66,13 @@ class KeepVectors:
     order_column: str
     vectors: DataFrame
     n_files: int
+    identity: Callable[[str], Column] = message_id
 
     @staticmethod
-    def build(spark: SparkSession, path: str, id_column: str, order_column: str) -> KeepVectors:
+    def build(spark: SparkSession, path: str, id_column: str, order_column: str, identity: Callable[[str], Column] = message_id) -> KeepVectors:
+        """``identity`` says what the identifier's column means; ``functions.col`` takes it as it is written."""
         files = spark.read.parquet(path).inputFiles()
-        rows = _placed(spark, path, [id_column, order_column]).withColumn("id_", message_id(id_column))
+        rows = _placed(spark, path, [id_column, order_column]).withColumn("id_", identity(id_column))
         first = (
             rows.where(F.col("id_").isNotNull())
             .groupBy("id_")
@@ -70,7 +82,7 @@ class KeepVectors:
         blocks = first.select("file_", F.bitmap_bucket_number("p").alias("block_"), F.bitmap_bit_position("p").alias("bit_"))
         # places first, bitmaps then: a bitmap before the shuffle would be larger than the places in it
         vectors = blocks.repartition("file_", "block_").groupBy("file_", "block_").agg(F.bitmap_construct_agg("bit_").alias("keep_"))
-        return KeepVectors(spark, path, id_column, order_column, vectors, len(files))
+        return KeepVectors(spark, path, id_column, order_column, vectors, len(files), identity)
 
     def _groups(self) -> list[DataFrame]:
         """The vectors in groups of files that are each small enough to broadcast."""
@@ -79,7 +91,7 @@ class KeepVectors:
         groups = max(1, -(-n_blocks * BLOCK_BYTES // BROADCAST_BYTES))
         if groups == 1:
             return [self.vectors]
-        kept = self.vectors.persist()
+        kept = _cut(self.vectors)
         return [kept.where(F.pmod("file_", F.lit(groups)) == g) for g in range(groups)]
 
     def _marked(self, columns: list[str]) -> DataFrame:
@@ -95,7 +107,7 @@ class KeepVectors:
         byte = F.conv(F.hex(F.expr("substring(keep_, cast(bitmap_bit_position(pos_) div 8 + 1 as int), 1)")), 16, 10).cast("int")
         bit = F.expr("shiftleft(1, cast(bitmap_bit_position(pos_) % 8 as int))")
         hit = F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False))
-        return out.withColumn("kept_", hit | message_id(self.id_column).isNull())
+        return out.withColumn("kept_", hit | self.identity(self.id_column).isNull())
 
     def keep(self, columns: list[str]) -> DataFrame:
         """Exactly one row of each message, with the given columns."""

@@ -10,8 +10,7 @@ from reviewlode.operators import absa, patterns, relational
 
 def families(clauses: DataFrame, column: str = "clause") -> DataFrame:
     """One row for each clause and family it shows; a clause may show several."""
-    compiled = {n: patterns.bounded(p) for n, p in patterns.FAMILIES.items()}
-    return patterns.tag(clauses, column, compiled, "request_type")
+    return patterns.tag(clauses, column, patterns.family_patterns(), "request_type")
 
 
 def mine(reviews: DataFrame, key: str, column: str, lexicon: dict[str, str], carry: tuple[str, ...] = ()) -> DataFrame:

@@ -73,17 +73,20 @@ def stratified(df: DataFrame, by: str, key: str, n: int, seed: int = 42) -> Data
     """About ``n`` rows: max(1, n // groups) of each stratum, topped up or cut to ``n`` in hash order."""
     groups = df.select(by).distinct().count()
     per = max(1, n // groups) if groups else 0
-    # ranks within a stratum come from a bounded heap for each stratum and partition, then from their union
-    ranked = df.withColumn("h_", shuffled(key, seed))
-    drawn = ranked.withColumn("rn_", F.row_number().over(Window.partitionBy(by).orderBy("h_", key)))
-    first = drawn.withColumn("late_", (F.col("rn_") > per).cast("int"))
+    ranked = df.withColumn("h_", shuffled(key, seed)).withColumn("rn_", F.row_number().over(Window.partitionBy(by).orderBy("h_", key)))
+    # no stratum gives more than n rows, so ranks beyond n are cut where the rows are, before the shuffle
+    first = ranked.where(F.col("rn_") <= n).withColumn("late_", (F.col("rn_") > per).cast("int"))
     return first.orderBy("late_", "h_", key).limit(n).drop("h_", "rn_", "late_")
 
 
-def round_robin(df: DataFrame, by: str, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows drawn in turns from the groups, each group in hash order."""
+def round_robin(df: DataFrame, by: str, key: str, n: int, seed: int = 42, floor: int = 0) -> DataFrame:
+    """``n`` rows drawn in turns from the groups, each group in hash order, after ``floor`` rows of every group.
+
+    Ranks beyond ``n`` are cut before the shuffle: no group can give more.
+    """
     w = Window.partitionBy(by).orderBy(shuffled(key, seed), key)
-    return df.withColumn("rn_", F.row_number().over(w)).orderBy("rn_", by).limit(n).drop("rn_")
+    ranked = df.withColumn("rn_", F.row_number().over(w)).where(F.col("rn_") <= n)
+    return ranked.orderBy(F.when(F.col("rn_") <= floor, 0).otherwise(F.col("rn_")), by, "rn_").limit(n).drop("rn_")
 
 
 def overlap_split(df: DataFrame, key: str, shared: int, seed: int = 42) -> DataFrame:

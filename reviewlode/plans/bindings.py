@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlode.functions import scalars, text
-from reviewlode.operators import absa, demand, patterns, promise, relational
+from reviewlode.operators import absa, delivery, demand, patterns, promise
 from reviewlode.operators.patterns import Aspect
 from reviewlode.scorers import NEGATIVE, POSITIVE, LexiconScorer
 
@@ -36,9 +36,14 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each identifier, the first delivered, with cleaned text and flags; the reader's identity is not kept."""
-    r = table(spark, d, "reviews").select("row_id", "reviewId", "app_dir", "content", "score", "at", "repliedAt", "replyContent", "thumbsUpCount", F.col("reviewCreatedVersion").alias("version"))
-    r = relational.keep_first(r, ["reviewId"], ["row_id"]).withColumnRenamed("app_dir", "app")
+    """One row for each identifier, the first delivered, with cleaned text and flags; the reader's identity is not kept.
+
+    Only identifiers and places are shuffled; texts are filtered by the keep
+    vectors while they are read.
+    """
+    once = delivery.KeepVectors.build(spark, f"{d}/reviews.parquet", "reviewId", "row_id", F.col)
+    r = once.keep(["row_id", "reviewId", "app_dir", "content", "score", "at", "repliedAt", "replyContent", "thumbsUpCount", "reviewCreatedVersion"])
+    r = r.where("reviewId IS NOT NULL").withColumnsRenamed({"app_dir": "app", "reviewCreatedVersion": "version"})
     t = text.clean("content")
     r = r.withColumn("text", t).withColumn("n_words", text.n_words("text"))
     flagged = r.withColumns(
@@ -107,7 +112,25 @@ def _kw(words: list[str]) -> str:
 
 ASPECT_SQL = ", ".join(f"CASE WHEN regexp_matches(low, '{_q(_rex(_kw(a.keywords)))}') THEN '{a.name}' END" for a in LEXICON)
 PROMISE_SQL = ", ".join(f"CASE WHEN regexp_matches(lower(segment), '{_q(_rex(_kw(a.promise_keywords or a.keywords)))}') THEN '{a.name}' END" for a in LEXICON)
-FAMILY_SQL = ", ".join(f"CASE WHEN regexp_matches(low, '{_q(_rex(p))}') THEN '{n}' END" for n, p in patterns.FAMILIES.items())
+# The vocabularies as the SQL states them, apart from those of the operators.
+_THING = "add|include|make|provide"
+SQL_FAMILIES = {
+    "request": r"wish|wishes|wished|hopes?\s+(you|they|to\s+see|for)|hoped\s+(you|they|to\s+see|for)|please\s+(add|include|provide|make|give|implement)|(pls|plz)\s+(add|include|make|give)|kindly\s+(add|include|provide|make)"
+    r"|should\s+(have|add|include|support|be\s+able)|would\s+be\s+(nice|better|great|good|helpful|perfect)\s+if|it\s+would\s+be\s+(nice|better|great|good|helpful)"
+    rf"|(can|could|would)\s+(you|u)\s+({_THING})|(can|could|would)\s+(you|u)\s+please\s+({_THING})"
+    r"|needs?\s+(a|an|to\s+have|more|better)|missing|no\s+option\s+(for|to)|suggest|suggestions?|lack|lacks|lacking|request|requesting|want(ed)?\s+(a|an|to\s+see)|hopefully\s+(you|they|add)",
+    "absence": r"does\s?n[o']?t\s+(have|support|include|offer|work\s+with)|do\s+not\s+(have|support|include|offer)|did\s?n[o']?t\s+(have|find|see)|there(\s+is|'s|s)\s+no|has\s+no|with\s?out\s+(a|an|any)|(could|can)\s?n[o']?t\s+find|unable\s+to\s+find|not\s+(available|supported)",
+    "churn": r"uninstall|uninstalled|uninstalling|delet(e|ed|ing)\s+(this|the\s+app|it)|switch(ed|ing)?\s+to|mov(ed|ing)\s+to|(going|went)\s+back\s+to|better\s+than\s+(this|the\s+other)|found\s+(a\s+)?better|remov(ed|ing)\s+(this|the\s+app|it)|looking\s+for\s+(another|an\s+alternative)",
+    "preference": r"that'?s\s+why\s+i\s+(use|keep|chose|prefer)|only\s+app\s+(that|which|with)|no\s+other\s+app|the\s+(only\s+)?reason\s+i\s+(use|chose|keep|downloaded)|best\s+app\s+(for|because|that)|better\s+than\s+(all\s+)?(other|the\s+rest)|i\s+(use|chose|prefer)\s+this\s+(app\s+)?because|unlike\s+other\s+apps|what\s+(sets|makes)\s+(this|it)\s+apart",
+    "tenure": r"using\s+(this|it|the\s+app)\s+(for\s+)?(the\s+(past|last)\s+)?[0-9]+\s*(\+\s*)?(years?|yrs?|months?|mos?)|since\s+20[0-9][0-9]|for\s+(the\s+)?(past|last)\s+[0-9]+\s*(years?|yrs?|months?|mos?)|[0-9]+\s*(\+\s*)?years?\s+(of\s+)?(use|using|now)",
+}
+SQL_REQUEST = (
+    r"wish|wishes|wished|hope|hopes|hoped|(please|pls|plz|kindly)\s+add|should\s+(have|add|include|be)|would\s+be\s+(nice|better|great|good)\s+if|it\s+would\s+be\s+(nice|better|great|good)|can\s+(you|u)\s+(please\s+)?add|could\s+you\s+add|needs?\s+(a|an|to|more)"
+    r"|missing|no\s+option|suggest|suggestion|lacks?|lacking|request|requesting|add\s+(a|an|more|the)|want(ed)?\s+(a|an|to\s+see)|looking\s+forward\s+to"
+)
+SQL_NEGATION = r"(does|do|did|is|are)n'?t|(does|do|did|is|are)\s+not|(ca|could|wo)n'?t|cannot|no|not|never|without|lacks?"
+SQL_DEVOTIONAL = r"\b(?:may\s+(?:allah|god)\b|(?:allah|god)\s+(?:bless|reward|grant|guide|accept|protect)|jazak\s*[au]?\s*allah|barak\s*allah)[^.!?,;\n]*|\b(?:(?:masha|subhan|insha)\s*allah|tabarakallah|(?:alhamdulil+|hamdulill)ah|bismillah|assalam\w*|salam\s*alaikum|walaikum\w*|ameen|aameen|jannah|jannat|akhirah|hereafter|highest\s+rank)\b"
+FAMILY_SQL = ", ".join(f"CASE WHEN regexp_matches(low, '{_q(_rex(p))}') THEN '{n}' END" for n, p in SQL_FAMILIES.items())
 _POS, _NEG = (", ".join(f"'{w}'" for w in ws) for ws in (POSITIVE, NEGATIVE))
 _STRIPPED = f"CASE WHEN regexp_matches(coalesce(content, ''), '[\\x{{2501}}-\\x{{10FFFF}}]') THEN regexp_replace(coalesce(content, ''), '{_EMOJI}', '', 'g') ELSE coalesce(content, '') END"
 
@@ -126,9 +149,9 @@ s AS (SELECT reviewId, CAST(i - 1 AS INT) AS sentence_index, parts[i] AS sentenc
       SELECT reviewId, list_filter(list_transform(string_split(regexp_replace(text, '([.!?।؟])\s+', '\1' || chr(31), 'g'), chr(31)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM r WHERE corpus_text))),
 tagged AS (SELECT reviewId, sentence_index, sentence, low, unnest(list_filter([{ASPECT_SQL}], lambda x: x IS NOT NULL)) AS aspect FROM (SELECT *, lower(sentence) AS low FROM s)),
 pairs AS (SELECT reviewId, sentence_index, sentence, aspect, 'lexicon' AS match_method,
-    regexp_matches(low, '{_q(_rex(patterns.REQUEST))}') AS is_request, regexp_matches(low, '{_q(_rex(patterns.NEGATION))}') AS has_negation
+    regexp_matches(low, '{_q(_rex(SQL_REQUEST))}') AS is_request, regexp_matches(low, '{_q(_rex(SQL_NEGATION))}') AS has_negation
   FROM tagged WHERE length(regexp_replace(low, '[^\p{{L}}]', '', 'g')) > 0
-   AND length(regexp_replace(regexp_replace(low, '{patterns.DEVOTIONAL}', '', 'g'), '[^\p{{L}}]', '', 'g')) >= 0.5 * length(regexp_replace(low, '[^\p{{L}}]', '', 'g'))),
+   AND length(regexp_replace(regexp_replace(low, '{SQL_DEVOTIONAL}', '', 'g'), '[^\p{{L}}]', '', 'g')) >= 0.5 * length(regexp_replace(low, '[^\p{{L}}]', '', 'g'))),
 counted AS (SELECT sentence, len(list_filter(w, lambda x: x IN ({_POS})))::DOUBLE AS pos, len(list_filter(w, lambda x: x IN ({_NEG})))::DOUBLE AS neg
   FROM (SELECT DISTINCT sentence, string_split_regex(lower(sentence), '[^a-z]+') AS w FROM pairs)),
 scores AS (SELECT sentence, neg / (pos + neg + 1) AS p_neg, 1 / (pos + neg + 1) AS p_neu, pos / (pos + neg + 1) AS p_pos FROM counted),

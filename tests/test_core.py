@@ -254,3 +254,47 @@ def test_streamed_windows(spark, tmp_path):
     q.awaitTermination(60)
     got = spark.table("w_").collect()
     assert [(r.app, r.n) for r in got] == [("a", 8)]
+
+
+@pytest.mark.parametrize(
+    "t, kept",
+    [
+        ("May Allah reward you", False),
+        ("May Allah reward you, but the qibla ads are off", True),
+        ("Masha Allah, but the ads are broken today", True),
+        ("Vitamin ads are everywhere", True),
+        ("Jazakallah khair for the ads", False),
+    ],
+)
+def test_devotional_clauses_end_at_commas(spark, t, kept):
+    r = spark.createDataFrame([("1", t)], "reviewId string, text string")
+    p = absa.handle_requests(absa.tag_sentences(absa.sentences(r, "reviewId", "text"), LEX))
+    assert (p.count() > 0) == kept or "ads" not in t
+
+
+@pytest.mark.parametrize(
+    "t, want",
+    [
+        ("it is missing an option", {"request"}),
+        ("it lacks a compass", {"request"}),
+        ("kindly add the compass now", {"request"}),
+        ("there is no compass here", {"absence"}),
+        ("I uninstalled it after the update", {"churn"}),
+        ("this is the only app that works", {"preference"}),
+        ("than the other one was", set()),
+        ("using it for 3 years now", {"tenure"}),
+        ("since 2019 every single day", {"tenure"}),
+        ("I wish there is no ads", {"request", "absence"}),
+    ],
+)
+def test_demand_families(spark, t, want):
+    c = spark.createDataFrame([(t,)], "clause string")
+    assert {r.request_type for r in demand.families(c).collect()} == want
+
+
+def test_draws_are_cut_before_the_shuffle(spark):
+    rows = [(str(i), "hot" if i % 3 else f"g{i % 5}") for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, g string")
+    assert relational.stratified(df, "g", "k", 20).count() == 20
+    drawn = [r.g for r in relational.round_robin(df, "g", "k", 12, floor=2).collect()]
+    assert all(drawn.count(g) == 2 for g in set(drawn)) and len(drawn) == 12
