@@ -22,12 +22,12 @@ def label_code(column: str) -> F.Column:
 def labelled_sample(df: DataFrame, key: str, text: str, label: str, size: int = L.SAMPLE) -> list[tuple[str, str]]:
     """(language, text) of at most ``size`` labelled rows, the first by hash of the key; bounded by ``size``.
 
-    Rows beyond a hash threshold that leaves about twice the sample are not
+    Texts are taken whole.  Rows beyond a hash threshold that leaves about twice the sample are not
     sorted, so that each task hands on a share of the sample, whatever the input.
     """
     share = min(1.0, 2.0 * size / max(1, df.count()))
     df = df.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * share) + 1)
-    rows = df.where(label_code(label).isin(_CODES) & (F.length(text) >= 8)).select(F.xxhash64(key).alias("h"), label, F.substring(text, 1, 300).alias("t"))
+    rows = df.where(label_code(label).isin(_CODES) & (F.length(text) >= 8)).select(F.xxhash64(key).alias("h"), label, F.col(text).alias("t"))
     return [(L.canonical(r[label]), r.t) for r in rows.orderBy("h").limit(size).collect()]
 
 
@@ -38,7 +38,7 @@ def _cutter(token: str, parts):
     """The cached segmenter of a worker; tasks of the same query share it."""
     if token not in _CUTTERS:
         _CUTTERS.clear()
-        model = L.Ngrams.unpacked(parts)
+        model = L.worker_model(token, parts)
 
         @lru_cache(20_000)
         def cut(t, lab):

@@ -2,14 +2,20 @@
 
 Each language has a character n-gram model fitted on a bounded sample of
 labelled texts, with the rows whose label the model contradicts taken out once.
-A text is a mixture: expectation-maximisation estimates its languages'
-proportions from the likelihoods of its words, the set of languages is the one
-with the best likelihood after a penalty for each language, and a Viterbi path
-over the words, with dear switches inside a sentence and cheap ones between
-sentences, gives the stretches.  Borrowed words and names are too short to pay
-for a switch.
-
-Null, empty and letterless texts have no stretch.
+A text is a mixture of languages: expectation-maximisation estimates their
+proportions from the n-gram likelihoods of its units (sentences, clauses and runs
+of at most ``UNIT`` words), and the set of languages is grown as long as the
+likelihood of the mixture gains more than a penalty.  No language is left out by
+its share, so one sentence in a thousand is found.  A Viterbi path over the
+words, with dear switches inside a sentence and cheap ones between sentences,
+gives the stretches.  Borrowed words and names are too short to pay for a switch.
+
+Where no second language could gain the penalty even if it took every word that
+is likelier in it (an upper bound of what the mixture can gain), the mixture has
+one language and needs no estimation.
+
+Null, empty and letterless texts have no stretch.  Texts are read whole.  A text
+in none of the languages gets the likeliest of them.
 """
 
 from __future__ import annotations
@@ -43,12 +49,15 @@ CODES = {
 }
 LANGS = tuple(CODES)
 _CANON = {c: k for k, v in CODES.items() for c in v.split()}
-#: Rows of the labelled sample.
+#: Rows of the labelled sample, whose whole texts are read: of short texts, and of documents.
 SAMPLE = 8_000
+SAMPLE_DOCUMENTS = 2_000
 #: Log odds that a stretch must gain: inside a sentence, after a comma or colon, after a sentence.
 SWITCH = {"": 16.0, ",": 7.0, ".": 4.0}
-#: Penalty for each language beyond the first.
-PENALTY = 9.0
+#: Penalty of the mixture's log likelihood for each language beyond the first.
+PENALTY = 6.0
+#: Words of a unit of the mixture where no mark ends it.
+UNIT = 6
 LABEL_PRIOR = 2.0
 #: Words whose likelihoods a worker remembers.
 KEPT = 100_000
@@ -190,6 +199,11 @@ class Ngrams:
                 break
         return np.maximum(got, got.max() - (FOREIGN if len(w) > 2 else FOREIGN / 3))  # one odd word decides nothing
 
+    def language(self, piece: str) -> str | None:
+        """The likeliest language of a piece of text; None without words."""
+        ws = _WORDS.findall(piece.lower())
+        return LANGS[int(self.words(ws).sum(0).argmax())] if ws else None
+
     def words(self, ws: list[str]) -> np.ndarray:
         place = self.place
         try:
@@ -208,6 +222,17 @@ class Ngrams:
         return self.seen[[place[w] for w in ws]].reshape(len(ws), len(LANGS))
 
 
+_MODELS: dict[str, Ngrams] = {}
+
+
+def worker_model(token: str, parts: list) -> Ngrams:
+    """The model of a worker; tasks of the same query share it."""
+    if token not in _MODELS:
+        _MODELS.clear()
+        _MODELS[token] = Ngrams.unpacked(parts)
+    return _MODELS[token]
+
+
 def count_grams(rows: list[tuple[str, str]]) -> list[dict[str, Counter]]:
     """Counts of characters, pairs and trigrams by language of (language, text)."""
     words: dict[str, Counter] = defaultdict(Counter)
@@ -270,53 +295,52 @@ def _score(text: str, model: Ngrams) -> float:
     return float(model.words(ws).max(1).sum()) / max(1, sum(map(len, ws))) if ws else -99.0
 
 
-def mixture(like: np.ndarray, steps: int = 12) -> np.ndarray:
-    """Proportions of the languages of a text by expectation-maximisation over its words' log likelihoods."""
-    p = np.exp(like - like.max(1, keepdims=True))
+def mixture(like: np.ndarray, steps: int = 30) -> tuple[np.ndarray, float]:
+    """Proportions of the languages of a text by expectation-maximisation over its units' log likelihoods, and its log likelihood."""
+    top = like.max(1, keepdims=True)
+    p = np.exp(like - top)
     pi = np.full(like.shape[1], 1.0 / like.shape[1])
+    last = -np.inf
     for _ in range(steps):
         r = p * pi
-        r /= r.sum(1, keepdims=True)
-        pi = r.mean(0)
-    return pi
+        each = r.sum(1, keepdims=True)
+        total = float(np.log(each).sum())
+        if total - last < 0.05:
+            break
+        last = total
+        pi = (r / each).mean(0)
+    return pi, total + float(top.sum())
 
 
-def choose(like: np.ndarray, pi: np.ndarray) -> list[int]:
-    """The set of languages with the best penalised likelihood, grown greedily from the best single one."""
-    order = [int(k) for k in np.argsort(-pi) if pi[k] > 0.02][:5]
-    best = [int(like.sum(0).argmax())]
-    have = like[:, best[0]]
+def choose(units: np.ndarray, best: int, rivals: list[int]) -> list[int]:
+    """The set of languages with the best penalised likelihood of the mixture, grown from the best single one."""
+    langs = [best]
+    have = float(units[:, best].sum())
     while True:
-        gain, pick, new = 0.0, None, None
-        for k in order:
-            if k not in best:
-                both = np.maximum(have, like[:, k])
-                g = float((both - have).sum()) - PENALTY
+        gain, pick = PENALTY, None
+        for k in rivals:
+            if k not in langs:
+                g = mixture(units[:, [*langs, k]])[1] - have
                 if g > gain:
-                    gain, pick, new = g, k, both
+                    gain, pick = g, k
         if pick is None:
-            return best
-        best.append(pick)
-        have = new
-
+            return langs
+        langs.append(pick)
+        have += gain
 
-# Texts with the letters of one language's own script alone; marks, digits, emoji and hidden characters go with any.
-_ANY = r"\x00-\x40\x5B-\x60\x7B-\x7F\u00A0-\u00BF\u2000-\u206F\u20A0-\u20BF\u2600-\u27BF\u2B50\uFE0F\uFEFF\u3000\u0964\u0965\U0001F300-\U0001FAFF"
-_OWN = regex.compile(rf"(?P<bn>[{_ANY}\u0980-\u09FF]+)|(?P<hi>[{_ANY}\u0900-\u097F]+)|(?P<th>[{_ANY}\u0E00-\u0E7F]+)|(?P<ru>[{_ANY}А-яЁё]+)")
 
-
-def _single(like: np.ndarray, prior: str | None) -> tuple[str, float] | None:
-    """(language, confidence) if no stretch of another language could pay for itself, else None."""
+def _rivals(like: np.ndarray, prior: str | None) -> tuple[int, list[int]]:
+    """The likeliest language of a text alone, and those that could gain the penalty beside it, by the sum of all words that are likelier in them."""
     if prior:
         like[0, LANGS.index(prior)] += LABEL_PRIOR
-    c = like.cumsum(0)
-    total = c[-1]
-    k = int(total.argmax())
-    c = c - c[:, k : k + 1]
-    low = np.minimum.accumulate(c, axis=0)
-    if float((c - low).max()) > PENALTY or float(c.max()) > PENALTY:
-        return None
-    return LANGS[k], float(1.0 / np.exp(total - total[k]).sum())
+    k = int(like.sum(0).argmax())
+    gain = np.maximum(like - like[:, k : k + 1], 0).sum(0)
+    return k, [int(j) for j in np.flatnonzero(gain > PENALTY)]
+
+
+def _alone(like: np.ndarray, k: int) -> tuple[str, float]:
+    total = like.sum(0)
+    return LANGS[k], float(1.0 / np.exp(np.minimum(total - total[k], 50)).sum())
 
 
 def _plain_run(m) -> str:
@@ -329,9 +353,6 @@ def stretches(text: str | None, model: Ngrams, prior: str | None = None) -> list
     if not text or not _LETTER.search(text):
         return []
     plain = text.isascii()
-    own = None if plain else _OWN.fullmatch(text)
-    if own:
-        return [(own.lastgroup, 1.0)]
     if not plain and encoding.is_damaged(text):
         text = repaired(text, model)
         plain = text.isascii()
@@ -343,9 +364,10 @@ def stretches(text: str | None, model: Ngrams, prior: str | None = None) -> list
         fast = _WORDS.findall((_SKIP.sub(" ", text) if _MAY_SKIP.search(text) else text).lower())
         if not fast:
             return []
-        one = _single(model.words(fast), prior)
-        if one:
-            return [one]
+        like = model.words(fast)
+        k, rivals = _rivals(like, prior)
+        if not rivals:
+            return [_alone(like, k)]
     named: list[int] = []
     ws, before = tokens(text, named)
     if not ws:
@@ -353,13 +375,18 @@ def stretches(text: str | None, model: Ngrams, prior: str | None = None) -> list
     like = model.words(ws)
     if named:
         like[named] *= NAMED
-    one = _single(like, prior)
-    if one:
-        return [one]
-    total = like.sum(0)
-    langs = choose(like, mixture(like))
+    k, rivals = _rivals(like, prior)
+    if not rivals:
+        return [_alone(like, k)]
+    starts, run = [], 0
+    for i, mark in enumerate(before):
+        if mark or run == UNIT:
+            starts.append(i)
+            run = 0
+        run += 1
+    langs = choose(np.add.reduceat(like, starts, axis=0), k, rivals)
     if len(langs) == 1:
-        return [(LANGS[langs[0]], float(1.0 / np.exp(np.minimum(total - total[langs[0]], 0)).sum()))]
+        return [_alone(like, k)]
     e = like[:, langs]
     score = e[0].copy()
     back = np.zeros(e.shape, dtype=int)

@@ -189,7 +189,7 @@ def grade(docs: DataFrame, graded: DataFrame, items: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     passages = [(r.lang, r.text) for r in graded.select("lang", "text").where("text IS NOT NULL").limit(20_000).collect()]
     langs = sorted({lang for lang, _ in passages if lang in L.LANGS})
-    counts = L.Ngrams(L.fit(labelled_sample(docs, "doc_id", "text", "lang", 6_000) + [p for p in passages if p[0] in langs])).packed()
+    counts = L.Ngrams(L.fit(labelled_sample(docs, "doc_id", "text", "lang", L.SAMPLE_DOCUMENTS) + [p for p in passages if p[0] in langs])).packed()
     index = Index([(r.item_id, r.text) for r in items.select("item_id", "text").where("text IS NOT NULL").limit(20_000).collect()])
     grams = frozenset(g for at in index.grams for g in at)
     sentences = sentence_words(docs, "doc_id", "text", None, counts, langs, grams)
