@@ -1,9 +1,15 @@
 """Sentence boundaries across languages and scripts (problem 1).
 
-The rules are those of the Unicode sentence break algorithm (properties STerm,
-ATerm, Close, Sep, Lower), with three additions: abbreviations of each language
-do not end a sentence, a quotation or bracket inside a running sentence does
-not, and emoji after an end mark belong to the sentence before them.
+The rules are those of the Unicode sentence break algorithm.  Its character
+property (Sentence_Break: STerm, ATerm, Close, Sep) gives the end marks and
+closing marks of all scripts.  There are three additions: abbreviations of the
+language that the text is in do not end a sentence, a quotation or bracket
+inside a running sentence does not, however long, and emoji after an end mark
+belong to the sentence before them.
+
+The language comes from a function that is asked only where the word before a
+full stop is an abbreviation in some language; words in a script of one
+language need none.  Without it, the abbreviations that all share are left.
 
 ``split`` returns (start, end) pairs, counted from 1 in code points, both
 included.  Null, empty and blank texts have no sentence; a text without any end
@@ -12,11 +18,15 @@ mark is one.  Texts of any length are read whole.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Callable
+
 import regex
 
-# Abbreviations by language; they never end a sentence.
+# Abbreviations by language, and under "" those that all share; they never end a sentence.
 ABBREVIATIONS = {
-    "en": "mr mrs ms dr prof st rev gen sen hon jr sr vs e.g i.e cf esp approx no nos tel v ver vol ch pp p fig sec dept est ext inc ltd co corp al viz",
+    "": "dr prof mr mrs ms e.g i.e cf vs approx nr no tel v ver vol p pp",
+    "en": "st jr sr esp nos ch fig sec dept est ext inc ltd co corp al viz",
     "de": "z.b z b d.h d h u.a u a ca bzw nr evtl ggf vgl hr fr str sog inkl bspw o.ä s.o abs tel",
     "fr": "p.ex p ex env mme mlle mm m cf av réf tél art pl bd",
     "es": "p.ej p ej aprox sr sra srta dr dra ud uds ee pág núm tel av",
@@ -28,6 +38,8 @@ ABBREVIATIONS = {
     "ar": "د م أ ص ت ج",
     "ur": "ڈاکٹر پ",
 }
+# Titles that are abbreviations only with a capital, before a name.
+TITLES = frozenset("Rev Gen Sen Hon Capt Sgt Col Lt".split())
 # Abbreviations that may also end a sentence; they do before a capital.
 MAY_END = "etc a.m p.m am pm min hrs hr sec in ft lb oz mi km u.s u.k uu usw min std jh dll dsb dst tsb vb vs д т мин сек руб млн тыс др etc".split()
 # Abbreviations only when a number follows.
@@ -36,16 +48,28 @@ AFTER_NUMBER = frozenset("in min hrs hr sec ft lb oz mi km мин сек руб"
 # Words that open sentences; a capitalised one after "U.S." starts a new one.
 OPENERS = frozenset("the i it we my they he she this that there please why when is are did do does and but".split())
 
-_NEVER = frozenset(w for s in ABBREVIATIONS.values() for w in s.split()) - {"no", "nos", "art", "fig", "sec", "ch", "co", "al", "est", "ext", "h", "m", "fr", "str", "ir", "im"}
+# Words that are abbreviations only with a number or in other rules, whatever the language.
+_OTHERWISE = frozenset("no nos art fig sec ch co al est ext h m fr str ir im".split())
+_NEVER = {lang: frozenset(words.split()) - _OTHERWISE for lang, words in ABBREVIATIONS.items()}
+_SOMEWHERE = frozenset(w for ws in _NEVER.values() for w in ws)
 _MAY = frozenset(MAY_END)
 
-TERMS = ".!?…‼⁇⁈⁉。！？｡．؟۔।॥։።፧፨᠃᠉"
-CLOSERS = "\"'”’»›)]}」』）】〉》“‘"
+_ALL = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+#: The end marks of all scripts, with the ellipsis, which reviewers end sentences with.
+ATERMS = "".join(regex.findall(r"\p{SB=ATerm}", _ALL))
+TERMS = "".join(regex.findall(r"\p{SB=STerm}", _ALL)) + ATERMS + "…"
+#: Closing marks: those of the property but for opening brackets and the quotation marks that only open.
+CLOSERS = "".join(regex.findall(r"[\p{SB=Close}--[\p{Ps}«‹‛‟]]", _ALL, flags=regex.V1))
+del _ALL
+_CLOSING = frozenset(CLOSERS)
+_STOPS = frozenset(ATERMS) | {"…"}
 _EMOJI = r"(?:[\U0001F1E6-\U0001F1FF\U0001F300-\U0001FAFF☀-➿⬀-⯿⌀-⏿](?:[️‍⃣\U0001F3FB-\U0001F3FF]|[\U0001F300-\U0001FAFF☀-➿](?<=‍.))*)"
 _CAND = regex.compile(
     rf"(?P<nl>[\r\n\x85  ])|(?P<term>[{regex.escape(TERMS)}]+(?:‍|️)?)|(?P<emoji>{_EMOJI}(?:[  ]*{_EMOJI})*)|(?<=[ก-๛])(?P<thai>[      　]+)(?=\p{{L}})"
 )
-_CLOSE = regex.compile(rf"[{regex.escape(CLOSERS)}]*")
+_CLOSE = regex.compile(rf"[{regex.escape(CLOSERS, special_only=False)}]*")
+_LINE = regex.compile(r"(?:(?![.!?…]+\s+\p{Lu})[^\r\n])*")
+_NUMBER_BEFORE = regex.compile(r"\d\s*$")
 _TAIL = regex.compile(rf"(?:[^\S\r\n]*{_EMOJI})+")
 _SPACE = regex.compile(r"[^\S\r\n]*")
 _WORD_BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}\p{Cf}.№]+$")
@@ -73,14 +97,35 @@ def _enclosed(line: str) -> list[tuple[int, int]]:
             b = line.find("”", a + 1)
         while q == "‘" and b > 0 and b + 1 < n and line[b + 1].isalpha():
             b = line.find(close, b + 1)  # an apostrophe inside the quotation
-        if b < 0 or b - a > 200:
+        if b < 0:
             i = a + 1
             continue
         out.append((a, b))
         i = b + 1
 
 
-def _no_stop(text: str, start: int, dot: int, nxt: str, gap: bool, after: int) -> bool:
+# Scripts of one language of the list; a word in one of them needs no language of the text.
+_SCRIPT_OF = ((0x400, 0x530, ("ru",)), (0x900, 0x980, ("hi",)), (0x980, 0xA00, ("bn",)), (0x600, 0x700, ("ar", "ur")))
+
+
+def _abbreviated(low: str, text: str, start: int, dot: int, language: Callable[[str], str | None] | None) -> bool:
+    """Whether a word is an abbreviation in the language around it."""
+    if low in _NEVER[""]:
+        return True
+    if low not in _SOMEWHERE:
+        return False
+    o = ord(low[0])
+    for lo, hi, langs in _SCRIPT_OF:
+        if lo <= o < hi:
+            return any(low in _NEVER[lang] for lang in langs)
+    if not language:
+        return False
+    # texts may change their language: the sentence so far with the next words of the line, and the text around it
+    near = text[max(start, dot - 120) : dot] + _LINE.match(text, dot + 1, dot + 60).group()
+    return any(low in _NEVER.get(language(piece) or "", ()) for piece in (near, text[max(0, dot - 300) : dot + 300]))
+
+
+def _no_stop(text: str, start: int, dot: int, nxt: str, gap: bool, after: int, language: Callable[[str], str | None] | None = None) -> bool:
     """Whether a single full stop at ``dot`` belongs to an abbreviation, a number or an address."""
     m = _WORD_BEFORE.search(text, max(start, dot - 40), dot)
     token = m.group() if m else ""
@@ -110,8 +155,10 @@ def _no_stop(text: str, start: int, dot: int, nxt: str, gap: bool, after: int) -
         if low in AFTER_NUMBER and not regex.search(r"\d[\s\-]*\p{L}*$", text[max(start, dot - 12) : dot]):
             return False
         return not (nxt.isupper() or nxt.isdigit()) if nxt.lower() != nxt.upper() or nxt.isdigit() else False
-    if low in _NEVER:
+    if m and nxt.isupper() and token.strip("." + _IGNORE) in TITLES:
         return True
+    if low and not _NUMBER_BEFORE.search(text, max(start, m.start() - 3), m.start()) and _abbreviated(low, text, start, dot, language):
+        return True  # after a number it is a unit
     if len(low) == 1 and low.isalpha():
         # an initial, or part of a spaced abbreviation
         return token.isupper() and nxt.isupper() or nxt.islower()
@@ -120,8 +167,11 @@ def _no_stop(text: str, start: int, dot: int, nxt: str, gap: bool, after: int) -
     return False
 
 
-def split(text: str | None) -> list[tuple[int, int]]:
-    """(start, end) of every sentence of a text, from 1, both included; see the module's docstring."""
+def split(text: str | None, language: Callable[[str], str | None] | None = None) -> list[tuple[int, int]]:
+    """(start, end) of every sentence of a text, from 1, both included; see the module's docstring.
+
+    ``language`` gives the two-letter code of a piece of text, or None.
+    """
     if not text or not _HAS.search(text):
         return []
     n = len(text)
@@ -159,11 +209,12 @@ def split(text: str | None) -> list[tuple[int, int]]:
         # end marks
         if enclosed is None:
             enclosed = [] if not _OPEN.search(text) else [(a + o, b + o) for o, line in _lines(text) for a, b in _enclosed(line)]
-        inside = next(((a, b) for a, b in enclosed if a < i < b), None)
-        close = _CLOSE.match(text, end).end() if end < n and text[end] in CLOSERS else end
+        at = bisect_left(enclosed, (i,)) - 1  # spans do not overlap
+        inside = enclosed[at] if at >= 0 and i < enclosed[at][1] else None
+        close = _CLOSE.match(text, end).end() if end < n and text[end] in _CLOSING else end
         if close > end and text[end] in "“‘" and not inside:
             close = end  # an opening mark
-        if close > end and text[end] in "\"'" and not inside and close - end == 1 and any(a == end for a, _ in enclosed):
+        if close > end and text[end] in "\"'" and not inside and close - end == 1 and at + 1 < len(enclosed) and enclosed[at + 1][0] == end:
             close = end  # a quotation starts right after the end mark
         if inside and not (close > end and inside[1] < close):
             continue  # a stop in the middle of a quotation
@@ -183,13 +234,13 @@ def split(text: str | None) -> list[tuple[int, int]]:
             # the quotation ended with an end mark: the sentence goes on unless a capital follows
             if not (gap or tail) or not nxt.isupper():
                 continue
-        elif marks == "." and not tail:
-            if _no_stop(text, start, i, nxt, gap, j):
+        elif marks in ATERMS and not tail:
+            if _no_stop(text, start, i, nxt, gap, j, language):
                 continue
-        elif set(marks) <= set(".…") and not tail and nxt.islower():
+        elif _STOPS.issuperset(marks) and not tail and nxt.islower():
             before = text[start:i].split()
             if not gap or len(before) < 4 or not before[-1][-1:].isalpha():
-                continue  # Hmm... so it goes on
+                continue  # Well... so it goes on
         elif not gap and not tail:
             if marks[-1] in "!?" and not (nxt.isupper() or nxt.upper() == nxt.lower() and nxt.isalpha()):
                 continue

@@ -36,6 +36,24 @@ def test_languages(counts, t, want):
     assert [lang for lang, _ in got] == want and all(0 < c <= 1.0001 for _, c in got)
 
 
+@pytest.mark.parametrize("times", [5, 50, 1000])
+def test_one_foreign_sentence_is_kept_at_any_length(counts, times):
+    many = (EN[0] + ". ") * (times // 2)
+    assert [lang for lang, _ in L.stretches(many + FR[0] + ". " + many, L.Ngrams(counts))] == ["en", "fr", "en"]
+
+
+def test_the_bound_loses_no_language(counts):
+    """A text that the bound calls monolingual gets no second language from the mixture either."""
+    m, r = L.Ngrams(counts), random.Random(3)
+    for _ in range(200):
+        ws = [w for t in r.sample(EN + FR + TR, 2) for w in t.lower().split() if r.random() < 0.6] or ["the"]
+        like = m.words(ws)
+        k, rivals = L._rivals(like.copy(), None)
+        units = L.np.add.reduceat(like, list(range(0, len(ws), L.UNIT)), axis=0)
+        for j in set(range(len(L.LANGS))) - set(rivals) - {k}:
+            assert L.mixture(units[:, [k, j]])[1] - units[:, k].sum() <= L.PENALTY
+
+
 def test_packed_models_are_the_same(counts):
     m, n = L.Ngrams(counts), L.Ngrams.unpacked(L.Ngrams(counts).packed())
     assert (m.words(["family", "xyz", "ночь"]) == n.words(["family", "xyz", "ночь"])).all()
@@ -49,7 +67,7 @@ def test_labels(label, want):
 def test_mixture_proportions(counts):
     m = L.Ngrams(counts)
     ws = L.tokens(EN[0])[0] + L.tokens(FR[0])[0]
-    pi = dict(zip(L.LANGS, L.mixture(m.words(ws))))
+    pi = dict(zip(L.LANGS, L.mixture(m.words(ws))[0]))
     assert pi["en"] > 0.3 and pi["fr"] > 0.3 and pi["en"] + pi["fr"] > 0.85
 
 

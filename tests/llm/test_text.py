@@ -11,8 +11,13 @@ from hypothesis import strategies as st
 from reviewlode.llm import encoding, leaks, levels, lookalikes, personal, sentences, tokens
 
 
+def guess(piece):
+    """The language of the examples by a word."""
+    return "fr" if "Minuten" not in piece and "est" in piece.split() else "de" if "dauert" in piece else "en"
+
+
 def cut(t):
-    return [t[a - 1 : b] for a, b in sentences.split(t)]
+    return [t[a - 1 : b] for a, b in sentences.split(t, guess)] if t else sentences.split(t)
 
 
 @pytest.mark.parametrize(
@@ -48,6 +53,36 @@ def test_sentences(t, want):
     assert cut(t) == want
 
 
+@pytest.mark.parametrize(
+    "t, n",
+    [
+        ("ខ្ញុំចូលចិត្តវា។ វាល្អណាស់។", 2),  # Khmer
+        ("ကောင်းပါတယ်။ ကြိုက်ပါတယ်။", 2),  # Myanmar
+        ("ܛܒ ܗܘ܀ ܫܦܝܪ ܗܘ܀", 2),  # Syriac
+        ("ጥሩ ነው። አመሰግናለሁ።", 2),  # Ethiopic
+        ("Լավ է։ Շատ լավ։", 2),  # Armenian
+        ("The strap is 12 mm. Next one is fine.", 2),
+        ("He was a cad. She left at once.", 2),
+        ("See the rev. It works now.", 2),
+        ("Rev. Smith wrote. It works now.", 2),
+        ("It reads “" + "We go now. " * 30 + "Fine.” and closes.", 1),
+    ],
+)
+def test_sentences_of_all_scripts(t, n):
+    assert len(sentences.split(t, lambda _: "en")) == n
+
+
+@pytest.mark.parametrize("lang, n", [("fr", 1), ("en", 2), (None, 2)])
+def test_abbreviations_go_by_the_language(lang, n):
+    assert len(sentences.split("Bonjour mme. Dupont est ici", lambda _: lang)) == n
+
+
+def test_a_hundredfold_text_is_cut_alike():
+    once = "Dr. Who said “Stop. Now!” twice. It cost approx. 3.50. ថ្ងៃ។ Ok?"
+    n = len(cut(once))
+    assert len(cut((once + "\n") * 100)) == 100 * n
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab A.!?\"'()\n…。।5🙏 é", max_size=60))
 def test_sentences_cover_in_order(t):
