@@ -47,5 +47,13 @@ def words(text) -> F.Column:
     return F.expr(f"filter(split(lower(coalesce({text}, '')), '[^\\\\p{{L}}\\\\p{{M}}]+'), w -> w <> '')")
 
 
-def language_column() -> F.Column:
-    return F.col("lang")
+_KEPT: dict[str, object] = {}
+
+
+def once_a_worker(token: str, build: Callable[[], object]) -> object:
+    """What ``build`` makes, kept by the worker process for later tasks of the same query; ``token`` names the query."""
+    if token not in _KEPT:
+        if len(_KEPT) > 8:
+            _KEPT.clear()
+        _KEPT[token] = build()
+    return _KEPT[token]

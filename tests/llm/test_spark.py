@@ -147,6 +147,16 @@ def test_leaks_in_blocks_of_items(spark, monkeypatch):
     assert sorted((x.doc_id, x.item_id) for x in leaks.leaks(docs, items).collect()) == want
 
 
+def test_instructions_are_found_over_all_blocks(spark, monkeypatch):
+    r = random.Random(8)
+    say = "Please " + " ".join(f"say{i}" for i in range(23)) + ". "
+    items = spark.createDataFrame([(i, (say if i % 4 == 0 else "") + " ".join(r.sample([f"w{j}" for j in range(300)], 40))) for i in range(12)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, say + say)], "doc_id bigint, text string")
+    for n in (100, 2):
+        monkeypatch.setattr(leaks, "ITEMS_AT_ONCE", n)
+        assert leaks.leaks(docs, items).count() == 0
+
+
 def test_both_ways_of_measuring(spark):
     s = spark.createDataFrame([(1, "en", 1, ["the", "cat", "the", "epistemological"]), (1, "en", 2, ["cat"]), (2, "fr", 1, ["le"])], "doc_id bigint, lang string, sent_no int, words array<string>")
     ranked = levels.ranks(s)

@@ -226,6 +226,30 @@ def test_shared_instruction_is_not_counted():
     assert ix.carried(leaks.plain_words("Read the case and answer. " * 20)) == {}
 
 
+@pytest.mark.parametrize("n", [3, 100, 400])
+def test_a_long_instruction_of_three_items_is_not_counted_among_any_number(n):
+    r = random.Random(6)
+    say = "Please " + " ".join(f"say{i}" for i in range(23)) + ". "
+    its = [(i, (say if i < 3 else "") + " ".join(r.sample(VOC, 45)) + ".") for i in range(n)]
+    assert leaks.Index(its).carried(leaks.plain_words("noise " * 30 + say + " more" * 30)) == {}
+
+
+def test_retrieval_equals_verifying_every_pair():
+    its = items(25, 4)
+    ix = leaks.Index(its, {w: 3 for w in VOC[:200]}, 50)
+    r = random.Random(9)
+    for _ in range(120):
+        ws = list(r.choice(ix.words))
+        a = r.randrange(len(ws) - 20)
+        span = ws[a : a + r.randrange(14, 40)]
+        for _k in range(r.randrange(4)):
+            at = r.randrange(len(span))
+            span[at : at + 1] = r.choice([[], ["odd"], [span[at], "put"]])
+        doc = r.choices(VOC, k=r.randrange(70)) + span + r.choices(VOC, k=r.randrange(70))
+        brute = {k for k in range(len(ix.ids)) if leaks.overlap(doc, ix.words[k], ix.grams[k])}
+        assert set(ix.carried(doc)) == brute
+
+
 def test_wand_loses_nothing():
     its = items(60, 2)
     ix = leaks.Index(its)
@@ -233,7 +257,7 @@ def test_wand_loses_nothing():
     for _ in range(150):
         terms = set(r.sample(VOC, 40)) | set(r.choice(ix.words)[:15])
         terms = {t for t in terms if t in ix.top}
-        brute = [k for k in range(len(ix.ids)) if sum(ix.impact[k].get(t, 0.0) for t in terms) >= ix.need[k] * (1 - 1e-9)]
+        brute = [k for k in range(len(ix.ids)) if sum(ix.impact[k].get(t, 0.0) for t in terms) >= 1.0]
         assert sorted(ix.search(terms)) == brute
 
 
