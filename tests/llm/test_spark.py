@@ -157,19 +157,49 @@ def test_instructions_are_found_over_all_blocks(spark, monkeypatch):
         assert leaks.leaks(docs, items).count() == 0
 
 
-def test_both_ways_of_measuring(spark):
-    s = spark.createDataFrame([(1, "en", 1, ["the", "cat", "the", "epistemological"]), (1, "en", 2, ["cat"]), (2, "fr", 1, ["le"])], "doc_id bigint, lang string, sent_no int, words array<string>")
-    ranked = levels.ranks(s)
-    assert {(r.lang, r.w): r.rank for r in ranked.collect()} == {("en", "the"): 2, ("en", "cat"): 2, ("en", "epistemological"): 3, ("fr", "le"): 1}
-    a, b = (sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in levels.measures(s, ranked, ["doc_id", "sent_no"], n).collect()) for n in (10, 0))
-    assert a == b
+def test_ranks(spark):
+    counted = spark.createDataFrame([("en", "the", 3), ("en", "cat", 3), ("en", "epistemological", 1), ("fr", "le", 1)], "lang string, w string, n bigint")
+    assert {(r.lang, r.w): r.rank for r in levels.ranks(counted).collect()} == {("en", "the"): 2, ("en", "cat"): 2, ("en", "epistemological"): 3, ("fr", "le"): 1}
+
+
+def level_tables(spark):
+    r = random.Random(2)
+    easy, hard = "the cat sat on a mat and ran to me".split(), [f"consideration{chr(97 + i)}tional" for i in range(26)]
+
+    def text(level):
+        return " ".join(" ".join(r.choices(easy if level == 1 else hard, k=9)) + "." for _ in range(6))
+
+    docs = spark.createDataFrame([(i, text(1 + i % 2), "en") for i in range(40)] + [(90, None, "en"), (91, " ", "en"), (92, "5 / 7", None)], "doc_id bigint, text string, lang string")
+    graded = spark.createDataFrame([(i, "en", 1 + i % 2, text(1 + i % 2)) for i in range(20)], "passage_id bigint, lang string, reading_level int, text string")
+    items = spark.createDataFrame([(i, " ".join(r.choices(hard, k=30))) for i in range(6)] + [(9, None)], "item_id bigint, text string")
+    return docs, graded, items
+
+
+def test_levels_are_the_same_with_any_size_of_vocabulary_and_blocks(spark, monkeypatch):
+    docs, graded, items = level_tables(spark)
+    want = {i: 1 + i % 2 for i in range(40)}
+    for most, block in ((1000, 1000), (4, 1000), (0, 2)):
+        monkeypatch.setattr(levels, "ITEMS_AT_ONCE", block)
+        assert {r.doc_id: r.reading_level for r in levels.grade(docs, graded, items, most).collect()} == want
+    assert levels.grade(docs.limit(0), graded, items.limit(0)).count() == 0
+
+
+def test_measures_with_rare_words_joined_are_the_same(spark):
+    docs, _g, _i = level_tables(spark)
+    shared = spark.sparkContext.broadcast(("t", L.Ngrams(L.fit([("en", "the cat sat on a mat and ran to me")] * 9)).packed()))
+    ranked = levels.ranks(levels.word_counts(docs, "text", shared, ["en"]))
+    got = []
+    for most in (1000, 5, 0):
+        m = levels.measures(docs, ["doc_id"], "text", None, levels.Vocabulary(ranked, most), shared, ["en"], (frozenset(), frozenset()))
+        got.append(sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in m.collect()))
+    assert got[0] == got[1] == got[2] and len(got[0]) > 100
 
 
 def test_headings_and_test_passages_do_not_count():
     grams = frozenset([tuple("one two three four five six".split())])
     voc = frozenset(w for g in grams for w in g)
     got = levels.units("A Heading\n\nThe cat sat here. One, two three four five six seven.\n- A bullet works too.", grams, voc)
-    assert got == [["the", "cat", "sat", "here"], ["a", "bullet", "works", "too"]]
+    assert got == [(1, ["the", "cat", "sat", "here"]), (3, ["a", "bullet", "works", "too"])]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
@@ -184,5 +214,6 @@ def test_levels_of_the_graded_passages(spark):
     g = spark.read.parquet(f"{DATA}/graded_passages.parquet")
     docs = g.select(F.col("passage_id").alias("doc_id"), "text", "lang")
     got = levels.grade(docs, g, spark.read.parquet(f"{DATA}/eval_items.parquet"))
-    right = got.join(g, got.doc_id == g.passage_id).select((got.reading_level == g.reading_level).cast("int").alias("ok")).agg(F.avg("ok"), F.count("ok")).first()
+    got = spark.createDataFrame(got.collect(), "passage_id bigint, found int")
+    right = got.join(g, "passage_id").select((F.col("found") == F.col("reading_level")).cast("int").alias("ok")).agg(F.avg("ok"), F.count("ok")).first()
     assert right[0] > 0.9 and right[1] >= 210

@@ -357,6 +357,6 @@ def test_boosting_is_accurate_on_held_out_examples():
 def test_long_sentences_are_one_unit_and_runs_keep_every_word():
     words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(47)]
     for end in (".", "?", "!”"):
-        assert levels.units(" ".join(words) + end, frozenset()) == [words]
-    runs = levels.units(" ".join(words), frozenset())
+        assert levels.units(" ".join(words) + end) == [(1, words)]
+    runs = [ws for _, ws in levels.units(" ".join(words))]
     assert len(runs) == 3 and sum(runs, []) == words
