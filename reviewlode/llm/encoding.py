@@ -1,20 +1,22 @@
 """Garbled text from a wrong character encoding (problem 6).
 
 A text is damaged when its bytes were once read with the wrong code page.  The
-operator works in two steps.
-
-*Structure* (``damage_spans``): the characters are turned back into bytes under
-every code page that may have been used by mistake.  Where those bytes form
-valid UTF-8 whose characters are plausible writing, or form a word of another
-single or double byte code page, the span is damaged.  Replacement characters
-(U+FFFD), C1 controls and runs of question marks in place of letters are lost
-bytes.
-
-*Restoration* (``Restorer``): a damaged span becomes a lattice of bytes with
-wildcards for the lost ones.  A Viterbi search over the lattice, scored by
-character pairs of the corpus and re-ranked by the corpus word frequencies,
-gives the text that was most probably written.  Lost bytes stay marked where no
-reading is a known word that is more probable than all others together.
+operator is a noisy-channel decoder in two steps.
+
+*Candidates* (``is_damaged``): the characters are turned back into bytes under
+every code page that may have been used by mistake.  Spans whose bytes form
+UTF-8, or a word of another single or double byte code page, may be damaged.
+Replacement characters (U+FFFD), C1 controls and runs of question marks in place
+of letters are lost bytes.
+
+*Decoding* (``Restorer``): a span was written as it stands, or was written
+otherwise and read with a wrong code page, or comes from no writing at all.
+Every reading is scored by the character pairs and the word frequencies of the
+corpus, and the likeliest wins.  Lost bytes make a lattice of bytes with
+wildcards, which a Viterbi search goes through.  They stay marked where no
+reading is a known word that is more probable than all others together.  A text
+is damaged where the decoder takes another reading than the text itself, or
+where bytes are lost.
 
 Null, empty and clean texts give no span.  Texts of any length are read whole.
 """
@@ -301,6 +303,7 @@ class Model:
 
     def __init__(self, words: np.ndarray, pairs: np.ndarray):
         self.words, self.pairs = words, pairs
+        self.letter = _Letters()
         self.total = float(pairs.sum()) + 1.0
 
     @lru_cache(100_000)  # noqa: B019 - one model lives as long as its worker
@@ -323,6 +326,16 @@ class Model:
 
 
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
+
+
+class _Letters(dict):
+    """Of each character what it is as the last or the first letter of a pair; None for what is no letter."""
+
+    def __missing__(self, c: str):
+        self[c] = got = c.lower()[-1] if _WORD.fullmatch(c) else None
+        return got
+
+
 _LATIN = "abcdefghijklmnopqrstuvwxyzàâäáçèéêëíìîïñóôöòúùûüğışßœ"
 _CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюяё"
 _letters = lambda lo, hi: "".join(c for c in map(chr, range(lo, hi)) if unicodedata.category(c)[0] in "LM" and _PLAIN_ONLY.fullmatch(c))
@@ -371,32 +384,91 @@ def _options(cell: tuple, page: str, scripts: frozenset) -> tuple[str, ...]:
     return tuple(c for b, c in _alphabet(page, scripts).get(len(cell), ()) if all(x is None or x == y for x, y in zip(cell, b)))
 
 
+#: Log odds that a span whose bytes are valid in another encoding was read wrongly, before its letters are looked at.
+CHANNEL = 8.0
+#: Log likelihood of a blank or an ordinary mark, and of any other sign.
+MARK, SIGN = -3.0, -12.0
+# Marks beyond ASCII that are ordinary.
+_USUAL = frozenset("’‘“”–—…«»¿¡،؟।。、！？")
+#: Mean log likelihood of a character of no writing at all.
+NO_WRITING = -12.0
+
+
+@lru_cache(256)
+def _runs_under(w: str) -> regex.Pattern:
+    """Runs of characters that a code page gives, from the first one beyond ASCII."""
+    high = _class("".join(REVERSE[w]))
+    return regex.compile(f"{high}(?:{high}|[\\x20-\\x7E])*")
+
+
 class Restorer:
-    """Decodes damaged texts: a lattice of bytes or characters with wildcards, searched by Viterbi under corpus counts."""
+    """Decodes damaged texts: a lattice of bytes or characters with wildcards, searched by Viterbi under corpus counts.
+
+    ``beam``: most paths that are kept at a place of the lattice.
+    """
 
     def __init__(self, model: Model, beam: int = 24):
         self.model, self.beam = model, beam
 
+    def likelier(self, text: str, start: int, end: int, good: str) -> bool:
+        """Whether a span was more probably written as ``good`` and read wrongly than written as it stands."""
+        before, after = text[start - 1 : start] or " ", text[end : end + 1] or " "
+        return self.total(f"{before}{good}{after}") + CHANNEL > self.total(f"{before}{text[start:end]}{after}")
+
+    def total(self, t: str) -> float:
+        """Log likelihood of a text by its pairs of letters; marks count as the blank beside a letter, and for themselves ``MARK`` or ``SIGN``."""
+        letters = [self.model.letter[c] or " " for c in t]
+        marks = sum(MARK if c.isascii() or c in _USUAL else SIGN for c, x in zip(t, letters) if x == " ")
+        return marks + sum(self.model.pair(x, y) for x, y in zip(letters, letters[1:]) if x != " " or y != " ")
+
+    def settle(self, text: str) -> str:
+        """A text with the spans restored whose other reading is likelier."""
+        for _ in range(3):  # texts may have been read wrongly more than once
+            spans = utf8_spans(text) or double_spans(text)
+            spans = [s for s in spans if s[2] is not None and self.likelier(text, s[0], s[1], s[2])]
+            if not spans:
+                break
+            out, at = [], 0
+            for start, end, good, _w in spans:
+                out += [text[at:start], good]
+                at = end
+            text = "".join(out) + text[at:]
+        how = _legacy(text)
+        return (self.legacy(text, how) or text) if how else text
+
     def legacy(self, text: str, how: str) -> str | None:
-        """The most likely reading of spans whose code page was mistaken for another one byte code page."""
+        """The most likely reading of spans whose code page was mistaken for another one byte code page; None if they stand better as they are."""
         rights = {"latin": RIGHT_OVER_LATIN, "turkish": ("cp1254",), "cyrillic": RIGHT_OVER_CYRILLIC}[how]
         wrongs = ("cp1252", "cp1254") if how != "cyrillic" else ("cp1251", "koi8_r")
-        best, score = None, self.model.text(text) + 0.3
+        best, score = None, -math.inf
         for w in wrongs:
+            spans = [m for m in _runs_under(w).finditer(text)]
+            if not spans:
+                continue
+            old = " ".join(m.group() for m in spans)
+            was = self.model.text(old) + 0.2 * self.model.in_words(old)
             for r in rights if how != "cyrillic" or w == "cp1251" else ("cp1251",):
-                def put(m, w=w, r=r):
-                    data = back_to_bytes(m.group(), w)
-                    return data.decode(r, "replace") if data else m.group()
-                pattern = r"[^\x00-\x7F][^Ā-őƀ-￿]*" if how != "cyrillic" else r"[А-яЁё─-╬╔╗╚╩][А-яЁё \x21-\x7E─-╬]*"
-                new = regex.sub(pattern, put, text)
-                if "�" in new or new == text:
+                pieces = [(back_to_bytes(m.group(), w) or b"").decode(r, "replace") or m.group() for m in spans]
+                new = " ".join(pieces)
+                if "�" in new or new == old:
                     continue
-                s = self.model.text(new) + 0.2 * self.model.in_words(new)
-                s0 = 0.2 * self.model.in_words(text)
-                if s - s0 > score:
-                    best, score = new, s - s0
+                if self.model.text(new) + 0.2 * self.model.in_words(new) - was > 0.3:
+                    out, at = [], 0
+                    for m, piece in zip(spans, pieces):
+                        out += [text[at : m.start()], piece]
+                        at = m.end()
+                    whole = "".join(out) + text[at:]
+                    value = self.model.text(whole) + 0.2 * self.model.in_words(whole)
+                    if value > score:
+                        best, score = whole, value
         return best
 
+    def no_writing(self, text: str) -> bool:
+        """Whether the characters beyond ASCII of a text are such as no writing has."""
+        runs = [text[max(0, m.start() - 1) : m.end() + 1].lower() for m in _RUN.finditer(text)]
+        pairs = [self.model.pair(x, y) for t in runs for x, y in zip(t, t[1:])]
+        return bool(pairs) and min(sum(self.model.pair(x, y) for x, y in zip(t, t[1:])) / max(1, len(t) - 1) for t in runs) < NO_WRITING
+
     def _paths(self, data: list[int | None], page: str, scripts: frozenset, base: bool) -> list[tuple[float, str]]:
         """Viterbi over a lattice of bytes, None for a lost one: the likeliest texts under a code page with their pair likelihoods."""
         n = len(data)
@@ -410,10 +482,12 @@ class Restorer:
                 options = _options(tuple(data[i : i + k]), page, scripts)
                 if not base and data[i] is None:
                     options = tuple(c for c in options if not c.isascii())
+                letter, pair, put = self.model.letter, self.model.pair, at[i + k].append
                 for p, t in beam:
-                    last = t[-1].lower()[-1] if t and _WORD.fullmatch(t[-1]) else " "
+                    last = (letter[t[-1]] if t else None) or " "
                     for c in self._after(last, options) if len(options) > 500 else options:
-                        at[i + k].append((p + self.model.pair(last, c.lower()[-1]) if _WORD.fullmatch(c) else p, t + c))
+                        low = letter[c]
+                        put((p + pair(last, low) if low else p, t + c))
         return sorted(at[n], reverse=True)[: self.beam]
 
     @lru_cache(5_000)  # noqa: B019
@@ -460,29 +534,25 @@ class Restorer:
         return best.upper() if len(best) == len(token) and token.isupper() and sum(map(str.isalpha, token)) > 1 else best
 
     def restore(self, text: str) -> tuple[bool, str | None]:
-        """(damaged, restored text or None where nothing can be known any more)."""
+        """(damaged, restored text or None where nothing can be known any more), as the decoder has it."""
         if not is_damaged(text):
             return False, None
         if "??" in text and lost_marks(text):
             return True, None
-        new = text
-        for _ in range(3):  # texts may have been read wrongly more than once
-            spans = utf8_spans(new) or double_spans(new)
-            spans = [s for s in spans if s[2] is not None]
-            if not spans:
-                break
-            out, at = [], 0
-            for start, end, good, _w in spans:
-                out += [new[at:start], good]
-                at = end
-            new = "".join(out) + new[at:]
-        how = _legacy(new)
-        if how:
-            new = self.legacy(new, how) or new
+        lost = _LOST.search(text) is not None or _BOXED.search(text) is not None
+        new, how = self.settle(text), _legacy(text)
+        other = self.legacy(text, how) if how else None
+        if other and other != new:  # a word of a code page may be UTF-8 by chance
+            other = self.settle(other)
+            value = lambda t: self.model.text(t) + 0.2 * self.model.in_words(t)
+            new = max(new, other, key=value)
         if "�" in new:
+            lost = True
             new = regex.sub(r"(?<=\p{L})�(?=(?:s|t|re|d|m|ll)(?!\p{L}))|(?<=\b(?i:i|we|you|they|could|should|would|might|must|who))�(?=ve(?!\p{L}))", "’", new)
             new = regex.sub(r"(?<!\S)�(\p{L}[^�\n]{0,40}\p{L})�(?=[\s.,!?]|$)", "“\\1”", new)
             new = _TOKEN.sub(lambda m: self.fill(m.group()) or m.group(), new)
             # decoders lose no letter of ASCII: only where nothing else is known, and not at the end, where a mark may have been
             new = _TOKEN.sub(lambda m: regex.search(r"�(?!\p{L})", m.group()) is None and self.fill(m.group(), True) or m.group(), new)
-        return True, new if new != text else None
+        if new != text:
+            return True, new
+        return lost or self.no_writing(text), None

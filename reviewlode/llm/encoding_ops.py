@@ -17,8 +17,8 @@ def model_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     words.  The driver gets at most two numbers a bucket, whatever the corpus.
     """
     n = encoding.N_BUCKETS
-    counted = texts.select(F.explode(words("text")).alias("w")).where(F.length("w") <= 64).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    pairs = F.expr("transform(sequence(0, length(w)), i -> concat(substring(concat(' ', w, ' '), i + 1, 2)))")
+    counted = texts.select(F.explode(words("text")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.expr("zip_with(concat(array(' '), filter(split(w, ''), c -> c <> '')), concat(filter(split(w, ''), c -> c <> ''), array(' ')), (a, b) -> concat(a, b))")
     keyed = counted.select(
         "n",
         F.explode(F.concat(F.array(F.struct(F.lit(0).alias("kind"), F.col("w").alias("s"))), F.transform(pairs, lambda p: F.struct(F.lit(1).alias("kind"), p.alias("s"))))).alias("e"),

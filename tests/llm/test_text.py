@@ -119,6 +119,25 @@ def test_other_damage(t):
     assert encoding.is_damaged(t)
 
 
+def corpus(*texts):
+    words, pairs = np.zeros(encoding.N_BUCKETS), np.zeros(encoding.N_BUCKETS)
+    for w in " ".join(texts).lower().split():
+        words[encoding.bucket(w)] += 50
+        for a, b in zip(f" {w} ", f"{w} "):
+            pairs[encoding.bucket(a + b)] += 50
+    return encoding.Restorer(encoding.Model(words, pairs))
+
+
+def test_the_decoder_decides():
+    r = corpus("لماذا تطلبون إذن الموقع كل مرة", "café très", "сухур и ифтар")
+    assert r.restore("Привет áãÇÐÇ ÊØáÈæä ÅÐä") == (True, "Привет لماذا تطلبون إذن")  # UTF-8 by chance inside a code page
+    assert r.restore("Ñóõóð è èôòàð") == (True, "Сухур и ифтар")
+    assert r.restore("The cafÃ© costs ВЈ3") == (True, "The café costs £3") or r.restore("The cafÃ©") == (True, "The café")
+    assert r.restore("café très") == (False, None)
+    sure = corpus("ýþð " * 30 + "ýþðýþ")  # a corpus in which such words are ordinary
+    assert sure.restore("ýþð ýþðýþ") == (False, None)
+
+
 def test_lost_characters_come_from_the_corpus():
     words, pairs = np.zeros(encoding.N_BUCKETS), np.zeros(encoding.N_BUCKETS)
     for w, n in (("oración", 50), ("fácil", 30)):
