@@ -370,6 +370,26 @@ def _alphabet(page: str, scripts: frozenset) -> dict[int, list[tuple[bytes | tup
     return out
 
 
+class _Many(tuple):
+    """Very many characters, known by their identity, with the checksums that their pairs' buckets come from."""
+
+    __slots__ = ()
+    __hash__ = object.__hash__
+
+    def __eq__(self, other):
+        return self is other
+
+
+@lru_cache(512)
+def _checksums(options: _Many) -> list[tuple[bytes, np.ndarray, np.ndarray]]:
+    """By their number of bytes: one of the characters, the places of all and their checksums."""
+    by: dict[int, list[int]] = {}
+    coded = [c.encode() for c in options]
+    for i, b in enumerate(coded):
+        by.setdefault(len(b), []).append(i)
+    return [(coded[at[0]], np.array(at), np.array([zlib.crc32(coded[i]) for i in at], dtype=np.int64)) for at in by.values()]
+
+
 @lru_cache(20_000)
 def _options(cell: tuple, page: str, scripts: frozenset) -> tuple[str, ...]:
     """The characters that some bytes, None for a lost one, may be under a code page."""
@@ -381,7 +401,8 @@ def _options(cell: tuple, page: str, scripts: frozenset) -> tuple[str, ...]:
         return (c,) if len(c) == 1 and _PLAIN_ONLY.fullmatch(c) else ()
     if len(cell) > 2 and set(cell) == {None} and "Hani" in scripts:
         return ()  # one of thousands
-    return tuple(c for b, c in _alphabet(page, scripts).get(len(cell), ()) if all(x is None or x == y for x, y in zip(cell, b)))
+    found = [c for b, c in _alphabet(page, scripts).get(len(cell), ()) if all(x is None or x == y for x, y in zip(cell, b))]
+    return tuple(found) if len(found) <= 200 else _Many(found)
 
 
 #: Log odds that a span whose bytes are valid in another encoding was read wrongly, before its letters are looked at.
@@ -480,20 +501,31 @@ class Restorer:
             beam = sorted(at[i], reverse=True)[: self.beam]
             for k in range(1, min(4 if page == "utf-8" else 1, n - i) + 1):
                 options = _options(tuple(data[i : i + k]), page, scripts)
-                if not base and data[i] is None:
+                many = options.__class__ is _Many
+                if not base and data[i] is None and not many:
                     options = tuple(c for c in options if not c.isascii())
                 letter, pair, put = self.model.letter, self.model.pair, at[i + k].append
                 for p, t in beam:
                     last = (letter[t[-1]] if t else None) or " "
-                    for c in self._after(last, options) if len(options) > 500 else options:
+                    for c in self._after(last, options) if many else options:
                         low = letter[c]
                         put((p + pair(last, low) if low else p, t + c))
         return sorted(at[n], reverse=True)[: self.beam]
 
-    @lru_cache(5_000)  # noqa: B019
-    def _after(self, a: str, options: tuple[str, ...]) -> list[str]:
-        """Of very many characters those that follow another one in the corpus."""
-        return [c for c in options if self.model.pairs[bucket(a + c)] > 0]
+    @lru_cache(50_000)  # noqa: B019
+    def _after(self, a: str, options: _Many) -> tuple[str, ...]:
+        """Of very many characters those that follow another one most often in the corpus, as many as paths are kept.
+
+        No other one could lead to a path that is kept.  The checksum of a pair
+        differs from that of its second character by what the first one gives.
+        """
+        first = a.encode()
+        found: list[tuple[float, int]] = []
+        for one, places, sums in _checksums(options):
+            n = self.model.pairs[(sums ^ (zlib.crc32(first + one) ^ zlib.crc32(one))) % N_BUCKETS]
+            top = np.argsort(-n, kind="stable")[: self.beam]
+            found += [(float(n[i]), int(places[i])) for i in top if n[i] > 0]
+        return tuple(options[i] for _, i in sorted(found, key=lambda x: (-x[0], x[1]))[: self.beam])
 
     def _known(self, t: str) -> bool:
         """Whether every word of a text and every pair of its letters is in the corpus."""

@@ -138,6 +138,16 @@ def test_the_decoder_decides():
     assert sure.restore("ýþð ýþðýþ") == (False, None)
 
 
+def test_successors_of_very_many_characters_equal_counting_all():
+    r = corpus("祈祷时间 我们城市 每天使用")
+    options = encoding._options((None,), encoding.WHOLE, frozenset({"Hani", "Kana"}))
+    assert options.__class__ is encoding._Many
+    for a in "祈时我 天":
+        n = {c: r.model.pairs[encoding.bucket(a + c)] for c in options}
+        best = sorted((c for c in options if n[c] > 0), key=lambda c: (-n[c], options.index(c)))[: r.beam]
+        assert list(r._after(a, options)) == best
+
+
 def test_lost_characters_come_from_the_corpus():
     words, pairs = np.zeros(encoding.N_BUCKETS), np.zeros(encoding.N_BUCKETS)
     for w, n in (("oración", 50), ("fácil", 30)):
