@@ -343,6 +343,8 @@ def test_names_of_fixed_pairs_and_names_that_nothing_counts():
         ("My name is Torvik Halmedan and I need help.", "Torvik Halmedan"),
     ):
         assert [(t[a:b], k) for a, b, k in d.spans(t)] == [(want, "name")]
+    for t in ("I met Ulrich Stegemann yesterday", "Dear John Smith", "My name is Ulrich Stegemann"):
+        assert [k for *_, k in personal.Detector(personal.train(), *(np.zeros(personal.BUCKETS) for _ in range(3))).spans(t)] == ["name"]
     for t in ("Happy with it. Please help", "Hello Everyone, it works well", "اسمي لا يظهر"):
         assert not d.spans(t)
 
@@ -376,13 +378,30 @@ def test_redaction_keeps_the_rest(detector):
 
 
 def test_boosting_is_accurate_on_held_out_examples():
-    for kind in ("phone", "id_number", "name"):
+    trained = personal.train()
+    for kind in personal.KINDS:
         x, y, *_ = personal.examples(kind, 1500, seed=99)
-        model, cut_ = personal.train()[kind]
+        model, cut_ = trained[kind]
         guess = np.array([model.one(r) >= cut_ for r in x])
         assert (guess == np.array(y)).mean() > 0.93
 
 
+@pytest.mark.parametrize("kind", personal.KINDS)
+def test_thresholds_hold_on_phrases_that_the_trees_never_saw(kind):
+    x, y, _g, _f, phrases = personal.examples(kind)
+    x, y, held = np.array(x), np.array(y), np.array(phrases) % 3 == 0
+    assert set(np.array(phrases)[held]).isdisjoint(np.array(phrases)[~held])
+    model = personal.Boosted().fit(x[~held], y[~held].astype(float))
+    guess = np.array([model.one(r) >= 0.5 for r in x[held]])
+    assert (guess == y[held]).mean() > 0.85
+
+
+def test_trees_judge_mail_and_addresses(detector):
+    for t in ("we meet 5 @ home", "score 3 @ 5 pm now"):
+        assert not [k for *_, k in detector.spans(t) if k == "email"]
+    assert not [k for *_, k in detector.spans("the tab Unit 4 of the game") if k == "address"]
+
+
 def test_long_sentences_are_one_unit_and_runs_keep_every_word():
     words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(47)]
     for end in (".", "?", "!”"):
