@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlode.llm.common import map_rows, table, words
+from reviewlode.llm.common import map_rows, once_a_worker, table, words
 from reviewlode.llm.encoding import is_damaged
-from reviewlode.llm.lookalikes import Trie, is_odd, plain
+from reviewlode.llm.lookalikes import Speller, Trie, is_odd, plain
 
 #: Words in the trie, the most frequent ones; tokens beyond it are normalised by table, so none is lost.
 VOCABULARY = 50_000
+#: A word in the letters of one script.
+ONE_SCRIPT = "^(?:" + "|".join(rf"[\p{{Is{s}}}\p{{M}}]+" for s in ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Bengali", "Thai", "Hangul", "Armenian", "Georgian")) + r"|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]+)$"
 
 
 def vocabulary(texts: DataFrame, size: int = VOCABULARY) -> list[tuple[str, int]]:
-    """The most frequent plain words of one alphabet, with their counts over all texts."""
-    w = texts.select(F.explode(words("text")).alias("w")).where(F.col("w").rlike(r"^(?:[a-zà-öø-ÿœğış]{1,32}|[а-яё]{1,32})$"))
+    """The most frequent words in the letters of one script, with their counts over all texts; without odd ones."""
+    w = texts.select(F.explode(words("text")).alias("w")).where(F.col("w").rlike(ONE_SCRIPT))
     top = w.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(size)
-    return [(r.w, r.n) for r in top.collect()]  # at most ``size`` rows
+    return [(r.w, r.n) for r in top.collect() if not is_odd(r.w)]  # at most ``size`` rows
 
 
 def _fields(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -38,16 +41,16 @@ def normalise(df: DataFrame, key: str, fields: list[str], not_if_damaged: tuple[
     for f in fields:
         part = df.select(F.col(f).alias("text"))
         texts = part if texts is None else texts.unionByName(part)
-    words_ = spark.sparkContext.broadcast(vocabulary(texts))
+    words_ = spark.sparkContext.broadcast((uuid.uuid4().hex, vocabulary(texts)))
 
     def make():
-        trie = Trie(words_.value)
+        token, counted = words_.value
+        speller = once_a_worker(token, lambda: Speller(Trie(counted)))
 
         @lru_cache(20_000)
         def form(field: str, t: str):
-            if not is_odd(t) or field in not_if_damaged and is_damaged(t):
-                return None
-            return plain(t, trie)
+            new = plain(t, speller)
+            return None if new == t or field in not_if_damaged and is_damaged(t) else new
 
         def one(k, field, t):
             new = form(field, t)

@@ -1,15 +1,24 @@
 """Visually identical text with different characters (problem 3).
 
-``is_odd`` says whether a text has characters that look like plain writing, or
-show nothing, but are others.  ``plain`` brings a text to one form: every odd
-token walks a trie of the corpus vocabulary together with a weighted edit
-automaton in which look-alikes and hidden characters cost nothing, and takes
-the most frequent spelling; tokens without one are mapped by table.
+Every token of a text that has a character with another meaning at no cost (a
+look-alike, a form kept for compatibility, an uncomposed or a hidden character)
+walks a trie of the corpus vocabulary, in all scripts, together with a weighted
+edit automaton.  Look-alikes and hidden characters cost nothing; a letter of a
+script that no word mixes with costs one edit, of which ``EDITS`` are allowed.
+The most frequent spelling wins; tokens without one are mapped by table.  A text
+is odd where its form differs from the text.
+
+What a token of look-alikes alone means hangs on the text: a Cyrillic one between
+Latin words is Latin if the vocabulary has its Latin spelling, and the reverse.
+Null, empty and plain texts stay as they are.  Joiners in Indic words and emoji,
+full width marks beside Chinese and Japanese, both spellings of Indic letters
+with a dot, and typographic marks are plain.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import regex
 
@@ -102,6 +111,7 @@ def _wrong_arabic(text: str) -> bool:
 
 _FORM = regex.compile(f"[{_FORMS}]")
 _HIDE = regex.compile(f"[{_HIDDEN}]")
+_BLANK = regex.compile(f"[{_BLANKS}]")
 _LATIN = regex.compile(r"[A-Za-zÀ-ɏ]")
 _OWN_CYRILLIC = regex.compile(f"(?![{''.join(k for k in LOOK if k in CYRILLIC)}])[а-яёА-ЯЁ]")
 _TO_CYRILLIC = {ord(v): k for k, v in CYRILLIC.items() if k in "аеорсухАВЕКМНОРСТХ"}
@@ -148,6 +158,15 @@ class Trie:
                 node = node.setdefault(c, {})
             node[""] = n
 
+    def count(self, word: str) -> int:
+        """How often a word occurs; 0 for words that are not in the trie."""
+        node = self.root
+        for c in word:
+            node = node.get(c)
+            if node is None:
+                return 0
+        return node.get("", 0)
+
     def spell(self, token: str, limit: float = 0.0) -> str | None:
         """The most frequent word within ``limit`` of a token; look-alikes, case and hidden characters cost nothing, other edits one.
 
@@ -185,9 +204,10 @@ class Trie:
         return best[1] if best else None
 
 
+@lru_cache(50_000)
 def _alternatives(c: str) -> tuple[str, ...]:
     """What a character may stand for at no cost; nothing for a hidden one."""
-    if regex.match(f"[{_HIDDEN}\u200C\u200D]", c):
+    if _HIDE.match(c) or c in "\u200C\u200D\uE00C\uE00D":
         return ()
     plain = unicodedata.normalize("NFKC", c).lower()
     out = {plain, c.lower()}
@@ -195,36 +215,107 @@ def _alternatives(c: str) -> tuple[str, ...]:
         if x in LOOK:
             out.add(LOOK[x].lower())
     back = [k for k, v in LOOK.items() if v == plain and k in CYRILLIC]
+    if c in "يیى":
+        out |= {"ي", "ی"}
+    elif c in "كک":
+        out |= {"ك", "ک"}
     return (*out, *[b.lower() for b in back])
 
 
 _TOKEN = regex.compile(f"[\\p{{L}}\\p{{M}}\\p{{N}}\\uE00C\\uE00D{_HIDDEN}\u200C\u200D{_FORMS}]+")
+#: Edits that a token may need beside look-alikes and hidden characters.
+EDITS = 1.0
+#: Tokens whose form a worker remembers.
+KEPT = 200_000
+_FOREIGN = regex.compile(r"(?<=[A-Za-z])[\u1D00-\u1D7F\u0250-\u02AF\p{Coptic}\p{Cherokee}\p{Lisu}\p{Armenian}\p{Georgian}\p{Deseret}](?=[A-Za-z]|$)|^[\u1D00-\u1D7F\p{Coptic}\p{Cherokee}\p{Lisu}\p{Armenian}\p{Deseret}](?=[A-Za-z]{3})")
+_ALL_ALIKE = regex.compile(f"[{_ALIKE}]+")
+_ALL_LATIN_ALIKE = regex.compile(r"[aceopxy]+|[ABCEHKMOPTX][aceopxy]+")
+_OWN_LATIN = regex.compile(r"[bdfghjklmnqrstuvwzDFGIJLNQRSUVWYZ]")
+_OWN_GREEK = regex.compile(f"(?![{_ALIKE}])\\p{{Greek}}")
+_TO_CYRILLIC_SMALL = {ord(a): b for a, b in zip("aceopxyABCEHKMOPTX", "асеорхуАВСЕНКМОРТХ")}
+
+
+class Speller:
+    """The form of tokens under a vocabulary; without one, tokens are mapped by table alone."""
+
+    def __init__(self, trie: Trie | None = None):
+        self.trie = trie
+        self.known: dict[tuple[str, str], str] = {}
+
+    def form(self, token: str, among: str) -> str:
+        """A token's form among words that are Latin ('L'), Cyrillic ('C') or mixed ('')."""
+        key = (token, among)
+        got = self.known.get(key)
+        if got is None:
+            if len(self.known) > KEPT:
+                self.known.clear()
+            got = self.known[key] = self._form(token, among)
+        return got
+
+    def _form(self, t: str, among: str) -> str:
+        trie = self.trie
+        if is_odd(t):
+            word = trie.spell(unicodedata.normalize("NFC", t)) if trie else None
+            return by_table(t) if word is None else _cased(word, by_table(t))
+        if trie is None:
+            return t
+        if among == "L" and _ALL_ALIKE.fullmatch(t):
+            plain_ = t.translate(TO_LATIN)
+            return _cased(plain_.lower(), plain_) if trie.spell(plain_) == plain_.lower() else t
+        if among == "C" and _ALL_LATIN_ALIKE.fullmatch(t):
+            plain_ = t.translate(_TO_CYRILLIC_SMALL)
+            return plain_ if trie.count(plain_.lower()) > trie.count(t.lower()) else t
+        if len(t) > 3 and _FOREIGN.search(t):
+            # letters that look like nothing in the tables: one edit from a word of the vocabulary
+            word = trie.spell(unicodedata.normalize("NFC", t), EDITS)
+            if word and len(word) == len(t):
+                return _cased(word, word.upper() if t.isupper() else word.capitalize() if t[:1].isupper() else word)
+        return t
+
+
+def _cased(word: str, table: str) -> str:
+    """A word of the vocabulary with the capitals that the table gives."""
+    if table.isupper() and len(table) > 1:
+        return word.upper()
+    return table[:1] + word[1:] if table[:1].lower() == word[:1] else word
+
+
+def _among(text: str) -> str:
+    if _OWN_CYRILLIC.search(text):
+        return "" if _OWN_LATIN.search(text) else "C"
+    return "L" if _OWN_LATIN.search(text) and not _OWN_GREEK.search(text) else ""
+
+
+def is_plain(text: str) -> bool:
+    """Whether no character of a text could mean another one."""
+    if text.isascii():
+        return text.isprintable() or not _HARD.search(text)
+    return _PLAIN_SPAN.fullmatch(text) is not None and not ("\uFE0F" in text and _STANDALONE_VS.search(text))
 
 
-def plain(text: str | None, trie: Trie | None = None) -> str | None:
+def plain(text: str | None, speller: Speller | Trie | None = None) -> str | None:
     """A text in its one consistent form; null stays null, plain texts stay as they are."""
-    if not text or not is_odd(text):
+    if not text or is_plain(text):
         return text
-
-    def token(m):
-        t = m.group()
-        if not is_odd(t):
-            return t
-        composed = unicodedata.normalize("NFC", t)
-        word = trie.spell(composed) if trie else None
-        if word is None:
-            return by_table(t)
-        table = by_table(t)
-        if table.isupper() and len(table) > 1:
-            return word.upper()
-        return table[:1] + word[1:] if table[:1].lower() == word[:1] else word
-
+    if not isinstance(speller, Speller):
+        speller = Speller(speller)
+    among = _among(text)
     # joiners that are needed step aside for a while
-    t = _JOINS_HERE.sub(lambda m: "\uE00C" if m.group() == "\u200C" else "\uE00D", text)
-    t = _TOKEN.sub(token, t)
-    t = regex.sub(f"[{_HIDDEN}\u200C\u200D]", "", t).replace("\uE00C", "\u200C").replace("\uE00D", "\u200D")
-    t = regex.sub(f"[{_BLANKS}]", " ", t)
+    joined = "\u200C" in text or "\u200D" in text
+    t = _JOINS_HERE.sub(lambda m: "\uE00C" if m.group() == "\u200C" else "\uE00D", text) if joined else text
+    form = speller.form
+    t = _TOKEN.sub(lambda m: form(m.group(), among), t)
+    if joined:
+        t = t.replace("\u200C", "").replace("\u200D", "").replace("\uE00C", "\u200C").replace("\uE00D", "\u200D")
+    t = _HIDE.sub("", _VS16.sub("", t) if "\uFE0F" in t else t)
+    t = _BLANK.sub(" ", t)
     if _MIXED.search(text):
         t = alone_by_table(t)
     t = _WIDE_MARK.sub(lambda m: unicodedata.normalize("NFKC", m.group()), t)
-    return unicodedata.normalize("NFC", t)
+    t = _FORM.sub(lambda m: unicodedata.normalize("NFKC", m.group()), t)
+    if t != text or not unicodedata.is_normalized("NFC", text):
+        same = text.translate(_NUKTA)
+        t = unicodedata.normalize("NFC", t)
+        if t == text or t.translate(_NUKTA) == same and unicodedata.normalize("NFC", same) == same:
+            return text
+    return t

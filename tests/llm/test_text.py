@@ -200,6 +200,32 @@ def test_trie_spells_look_alikes():
     assert lookalikes.plain("Ｃｏｖｅｒ it", trie) == "Cover it"
 
 
+def test_the_automaton_decides_what_tokens_of_look_alikes_mean():
+    trie = lookalikes.Trie([("too", 9), ("many", 8), ("with", 7), ("с", 9), ("нами", 3), ("ہے", 4), ("کی", 4), ("cover", 5), ("नमाज", 5)])
+    for t, want in (
+        ("Τοο many ads", "Too many ads"),
+        ("это c нами", "это с нами"),  # a Latin c between Cyrillic words
+        ("это с нами", "это с нами"),
+        ("и а к", "и а к"),
+        ("vitamin C is here", "vitamin C is here"),
+        ("cᴏver it with me", "cover it with me"),  # a small capital: one edit
+        ("cᴏvᴇr it with me", "cᴏvᴇr it with me"),  # two edits are too many
+        ("नमा\u200bज है", "नमाज है"),
+        ("co\u0301ver", "cóver"),
+        (None, None),
+        ("", ""),
+    ):
+        assert lookalikes.plain(t, trie) == want
+    # without the vocabulary these stay as they are
+    assert lookalikes.plain("Τοο many ads") == "Τοο many ads" and lookalikes.plain("cᴏver it with me") == "cᴏver it with me"
+    assert lookalikes.plain("Τοο mаny ads " * 500, trie) == "Too many ads " * 500
+
+
+@pytest.mark.parametrize("t", ["naïve café – “quoted” ’s", "Пожалуйста, а я", "لماذا الإعلانات كثيرة", "कार्य क्‍ष", "我们，城市！", "👩‍👧 ok ❤️", "ড়", "ড\u09bc", "Ünlü İstanbul ışık", "αβγ δοκιμή"])
+def test_plain_texts_stay(t):
+    assert lookalikes.plain(t, lookalikes.Trie([("ok", 1)])) == t
+
+
 @pytest.fixture(scope="module")
 def encoder():
     path = tokens.tokenizer_path()
