@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import unicodedata
 import zlib
 
@@ -158,15 +159,38 @@ def may_number(t: str) -> bool:
     return digit is not None and _SEVEN.search(t, digit.start()) is not None
 
 
-def may_address(t: str) -> bool:
-    """Whether a flat text may hold a street address."""
+# The words without which no pattern of a street or house matches, and those without which nothing introduces a name.
+_ADDRESS_WORDS = frozenset("""street st road rd avenue ave lane drive close court square place boulevard blvd terrace crescent row walk mews garden gardens hill hills nagar colony villa villas tower house view mill way flat apt apartment unit plot suite room h hno
+rue impasse allee chemin quai calle avenida av avda plaza carrera paseo jl jln jalan gang gg sok sokak cad caddesi mah mahallesi""".split())
+_ADDRESS_ALONE = ("rue", "jl.", "jalan", "sok", "cad")
+_INTRO_WORDS = frozenset("""name names call heisse heissen heiss appelle llamo nombre nama bernama am m soy saya this regards yours wishes cheers hello hi dear salam ask registered signed thanks
+daughter son wife husband sister brother mother father friend teacher heiße heißen heiß adım ismim зовут имя""".split())
+_INTRO_PARTS = ("سمي", "نام", "नाम", "নাম", "ชื่อ", "我叫", "我的名字", "名前は")
+
+
+def may_address(t: str, words: list[str] | None = None) -> bool:
+    """Whether a flat text may hold a street address; ``words``: its words in lower case.  False only where ADDRESS matches nothing that counts."""
+    if t.isascii():
+        words = _WORDISH.findall(t.lower()) if words is None else words
+        low = t.lower()
+        if any([x in low for x in _ADDRESS_ALONE]):
+            return True
+        return _DIGIT.search(t) is not None and (not _ADDRESS_WORDS.isdisjoint(words) or _STREET_SUFFIX.search(low) is not None)
     return _DIGIT.search(t) is not None and _MAY_ADDRESS.search(t) is not None or _BIG_ADDRESS.search(t) is not None
 
 
+def may_introduce(t: str, words: list[str] | None = None) -> bool:
+    """Whether a flat text may introduce a name; false only where INTRODUCED matches nothing."""
+    if not _INTRO_WORDS.isdisjoint(_WORDISH.findall(t.lower()) if words is None else words):
+        return True
+    return not t.isascii() and any([x in t for x in _INTRO_PARTS])
+
+
 # Patterns of the features, compiled once.
+_WORDISH = re.compile(r"\w+")
 _MAIL_AT = regex.compile(rf"{_AT}|\\bat\\b", regex.I)
 _MAIL_DOT = regex.compile(rf"{_DOT}|\\bdot\\b|\\s+", regex.I)
-_STREET_SUFFIX = regex.compile(r"(?:straße|strasse|str\.|weg|platz|gasse|allee)\b")
+_STREET_SUFFIX = regex.compile(r"(?:straße|strasse|str\.|weg|platz|gasse|allee)(?!\p{L})")
 _PLACED = regex.compile(r"(?i)\\b(?:in|at|near|on|of|the)\\s*$")
 _LIVES = regex.compile(r"(?i)\\b(?:live|lives|address|adresse|deliver|send|visit|office|wohne|habite|vivo|alamat|adres(?:im|imiz)?|dirección|адрес|живу)\\b")
 _P0 = regex.compile(r"\d+")
@@ -282,7 +306,8 @@ class Detector:
         found: list[tuple[float, int, int, str]] = []
         if may_email(t):
             found += [(2.0 + p, a, b, "email") for a, b, p in self._judged("email", t, MAIL_LIKE, mail_features)]
-        if may_address(t):
+        words = _WORDISH.findall(t.lower())
+        if may_address(t, words):
             found += [(1.5 + p / 2, a, b, "address") for a, b, p in self._judged("address", t, ADDRESS, address_features)]
         if may_number(t):
             for m in NUMBER.finditer(t):
@@ -293,7 +318,7 @@ class Detector:
                 p, k = max((self.models[k][0].one(row), k) for k in ("phone", "id_number"))
                 if p >= self.models[k][1]:
                     found.append((1.0 + p / 4, a, b, k))
-        found += self._names(t, whole_name, [(a, b) for _, a, b, _ in found])
+        found += self._names(t, whole_name, [(a, b) for _, a, b, _ in found], words)
         out: list[tuple[int, int, str]] = []
         for _, a, b, kind in sorted(found, key=lambda x: (-x[0], x[1])):
             if not any(x < b and a < y for x, y, _ in out):
@@ -311,7 +336,7 @@ class Detector:
                 out.append((m.start(), m.end(), p))
         return out
 
-    def _names(self, t: str, whole: bool, taken) -> list[tuple[float, int, int, str]]:
+    def _names(self, t: str, whole: bool, taken, words) -> list[tuple[float, int, int, str]]:
         out = []
         if whole:
             s = t.strip()
@@ -332,7 +357,7 @@ class Detector:
                 p, cut = self._score(t, a, b, False)
                 if p >= cut:
                     out.append((p, a, b, "name"))
-        for m in INTRODUCED.finditer(t):
+        for m in INTRODUCED.finditer(t) if may_introduce(t, words) else ():
             a = m.start(m.lastindex)
             ends = [a + w.end() for w in _P11.finditer(m[m.lastindex])]
             for b in reversed(ends):  # the longest first: it wins where scores are equal

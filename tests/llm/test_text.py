@@ -391,6 +391,18 @@ def test_names_of_fixed_pairs_and_names_that_nothing_counts():
         ("Lindenweg  12", personal.ADDRESS, personal.may_address),
         ("переулок Лесной 4", personal.ADDRESS, personal.may_address),
         ("人民路 12号", personal.ADDRESS, personal.may_address),
+        ("House 12", personal.ADDRESS, personal.may_address),
+        ("H.No. 45", personal.ADDRESS, personal.may_address),
+        ("at 5 Old Mill View", personal.ADDRESS, personal.may_address),
+        ("Lindenstr.  12", personal.ADDRESS, personal.may_address),
+        ("Bergstrasse\n4", personal.ADDRESS, personal.may_address),
+        ("My name's Ann", personal.INTRODUCED, personal.may_introduce),
+        ("I'm Ann", personal.INTRODUCED, personal.may_introduce),
+        ("Mein Name ist Ann", personal.INTRODUCED, personal.may_introduce),
+        ("Je m'appelle Ann", personal.INTRODUCED, personal.may_introduce),
+        ("this is Ann", personal.INTRODUCED, personal.may_introduce),
+        *[(t, personal.INTRODUCED, personal.may_introduce) for t in ("Ich heiße Ann", "Benim adım Ann", "ismim Ann", "Меня зовут Анна", "моё имя Анна", "اسمي يوسف", "میرا نام یوسف", "मेरा नाम सीमा", "আমার নাম করিম", "我叫王明。", "名前は山田です", "ชื่อ สมชาย")],
+        ("my wife Ann", personal.INTRODUCED, personal.may_introduce),
     ],
 )
 def test_matches_of_the_generators_pass_the_gates(t, generator, gate):
