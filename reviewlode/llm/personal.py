@@ -78,13 +78,6 @@ ADDRESS = regex.compile(
 )
 _NAMEWORD = r"(?:\p{Lu}\p{Ll}[\p{L}'’-]*|\p{Lu}{2,}|\p{Lu}\.)"
 NAME = regex.compile(rf"(?<![\p{{L}}@#._]){_NAMEWORD}(?:\s+{_NAMEWORD}){{0,3}}|(?<![\p{{L}}\p{{M}}])\p{{Lo}}[\p{{Lo}}\p{{M}}]+(?:\s+\p{{Lo}}[\p{{Lo}}\p{{M}}]+)*")
-#: A text without any of these holds no street or house.
-_MAY_ADDRESS = regex.compile(
-    r"""(?i)\b(?:street|st|road|rd|avenue|ave|lane|drive|close|court|square|place|boulevard|blvd|terrace|crescent|row|walk|mews|gardens?|hills?|nagar|colony|villas?|tower|house|view|mill|way|flat|apt|apartment|unit|plot|suite|room|h\.?\s?no
-    |villa|rue|impasse|all[ée]e|chemin|quai|calle|avenida|av(?:da)?|plaza|carrera|paseo|jln?|jalan|gang|gg|sok|sokak|sokağı|cad|caddesi|mah|mahallesi|bulvarı)\b|(?:straße|strasse|str\.|weg|platz|gasse|allee)\s+\d|ул|пр\.|пр-т|проспект|пер\.|шоссе|наб\.
-    |شارع|حي\s|مکان|گھر|گلی|فلیٹ|سڑک|روڈ|سٹریٹ|اسٹریٹ|मकान|घर|फ्लैट|फ़्लैट|गली|प्लॉट|रोड|मार्ग|सड़क|स्ट्रीट|एवेन्यू|नगर|বাড়ি|বাড়ি|বাসা|ফ্ল্যাট|হোল্ডিং|রোড|সড়ক|সড়ক|লেন|গলি|স্ট্রিট|[路街巷弄道]\s*\d|丁目|番地|บ้านเลขที่|ถนน|ซอย|หมู่""",
-    regex.X,
-)
 # What introduces a name, and what introduces something else.
 _INTRO = regex.compile(r"(?i)(?:name is|i am|i'm|this is|hei(?:ß|ss)e|appelle|me llamo|soy|adım|nama saya|saya|зовут|اسمي|أنا|نام|नाम|নাম|regards,|yours,|wishes,|cheers,|hello|\bhi|dear|salam|ask|registered as|[–—-]|signed|thanks to|my (?:daughter|son|wife|husband|sister|brother|mother|father|friend|teacher))\s*$")
 _STATES = r"name\s+is|name['’]s|call\s+me|hei(?:ß|ss)e|name\s+ist|m['’]appelle|me\s+llamo|nombre\s+es|adım|ismim|nama\s+saya|bernama|зовут|мо[её]\s+имя"
@@ -162,6 +155,9 @@ def may_number(t: str) -> bool:
 # The words without which no pattern of a street or house matches, and those without which nothing introduces a name.
 _ADDRESS_WORDS = frozenset("""street st road rd avenue ave lane drive close court square place boulevard blvd terrace crescent row walk mews garden gardens hill hills nagar colony villa villas tower house view mill way flat apt apartment unit plot suite room h hno
 rue impasse allee chemin quai calle avenida av avda plaza carrera paseo jl jln jalan gang gg sok sokak cad caddesi mah mahallesi""".split())
+_ADDRESS_ALONE_NATIVE = ("شارع", "روڈ", "रोड", "मार्ग", "রোড", "সড়ক", "সড়ক", "ул", "ถนน")
+_ADDRESS_NATIVE = (*_ADDRESS_ALONE_NATIVE, *"""пр. пр-т проспект пер. переулок шоссе наб. حي مکان گھر گلی فلیٹ سڑک سٹریٹ اسٹریٹ मकान घर फ्लैट फ़्लैट गली प्लॉट सड़क स्ट्रीट एवेन्यू नगर
+বাড়ি বাড়ি বাসা ফ্ল্যাট হোল্ডিং লেন গলি স্ট্রিট 路 街 巷 弄 道 丁目 番地 บ้านเลขที่ ซอย หมู่ allée bulvarı sokağı mahallesi""".split())
 _ADDRESS_ALONE = ("rue", "jl.", "jalan", "sok", "cad")
 _INTRO_WORDS = frozenset("""name names call heisse heissen heiss appelle llamo nombre nama bernama am m soy saya this regards yours wishes cheers hello hi dear salam ask registered signed thanks
 daughter son wife husband sister brother mother father friend teacher heiße heißen heiß adım ismim зовут имя""".split())
@@ -170,13 +166,15 @@ _INTRO_PARTS = ("سمي", "نام", "नाम", "নাম", "ชื่อ", "
 
 def may_address(t: str, words: list[str] | None = None) -> bool:
     """Whether a flat text may hold a street address; ``words``: its words in lower case.  False only where ADDRESS matches nothing that counts."""
-    if t.isascii():
-        words = _WORDISH.findall(t.lower()) if words is None else words
-        low = t.lower()
-        if any([x in low for x in _ADDRESS_ALONE]):
-            return True
-        return _DIGIT.search(t) is not None and (not _ADDRESS_WORDS.isdisjoint(words) or _STREET_SUFFIX.search(low) is not None)
-    return _DIGIT.search(t) is not None and _MAY_ADDRESS.search(t) is not None or _BIG_ADDRESS.search(t) is not None
+    words = _WORDISH.findall(t.lower()) if words is None else words
+    low = t.lower()
+    if any([x in low for x in _ADDRESS_ALONE]):
+        return True
+    if _DIGIT.search(t) is None:
+        return not t.isascii() and any([x in low for x in _ADDRESS_ALONE_NATIVE])
+    if not _ADDRESS_WORDS.isdisjoint(words) or _STREET_SUFFIX.search(low) is not None:
+        return True
+    return not t.isascii() and any([x in low for x in _ADDRESS_NATIVE])
 
 
 def may_introduce(t: str, words: list[str] | None = None) -> bool:
