@@ -58,6 +58,12 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def softmax2(a: Column, b: Column) -> Column:
+    """The first one's share of two, as of entailment against contradiction."""
+    m = F.greatest(a, b)
+    return F.exp(a - m) / (F.exp(a - m) + F.exp(b - m))
+
+
 def softmax3(a: Column, b: Column, c: Column) -> tuple[Column, Column, Column]:
     m = F.greatest(a, b, c)
     ea, eb, ec = F.exp(a - m), F.exp(b - m), F.exp(c - m)

@@ -5,6 +5,8 @@ Null gives null unless a docstring says otherwise.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -118,9 +120,19 @@ def brand_lead(c: Column | str) -> Column:
     return app_key(F.regexp_extract(_col(c), r"^([^–—\-:|(]*)", 1))
 
 
+def _unaccented() -> tuple[str, str]:
+    """Accented Latin letters and the bare ones, by decomposition."""
+    pairs = [(chr(i), unicodedata.normalize("NFKD", chr(i))[0]) for i in range(0xC0, 0x250) if unicodedata.decomposition(chr(i)) and unicodedata.normalize("NFKD", chr(i))[0].isascii()]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+UNACCENTED = _unaccented()
+
+
 def safe_dirname(c: Column | str, most: int = 80) -> Column:
-    """A name as a folder name: word characters, blanks as underscores, at most ``most`` characters."""
-    bare = F.regexp_replace(F.trim(F.regexp_replace(_col(c), r"[^A-Za-z0-9_\s\-]", "")), r"\s+", "_")
+    """A name as a folder name: letters without accents and word characters, blanks as underscores, at most ``most`` characters."""
+    plain = F.translate(_col(c), *UNACCENTED)
+    bare = F.regexp_replace(F.trim(F.regexp_replace(plain, r"[^A-Za-z0-9_\s\-]", "")), r"\s+", "_")
     return F.substring(bare, 1, most)
 
 

@@ -24,6 +24,13 @@ def design(reviews: DataFrame, aspects: DataFrame, names: list[str]) -> DataFram
     return base.join(wide, "reviewId", "left").fillna(0, [f"{p}_{n}" for n in names for p in ("mentions", "complaint")])
 
 
+def centred(df: DataFrame, columns: list[str]) -> DataFrame:
+    """A small table with ``<column>_c``: the value less the mean of all rows."""
+    means = df.agg(*[F.avg(c).alias(f"{c}_m_") for c in columns]).withColumn("k_", F.lit(1))
+    out = df.withColumn("k_", F.lit(1)).join(F.broadcast(means), "k_")
+    return out.withColumns({f"{c}_c": F.col(c) - F.col(f"{c}_m_") for c in columns}).drop("k_", *[f"{c}_m_" for c in columns])
+
+
 def cooccurrence(reviews: DataFrame, aspects: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """Counts of the 2x2 table of two aspects over reviews, and the lift P(a|b) / P(a)."""
     flags = aspects.groupBy(key).agg(F.max((F.col("aspect") == a).cast("int")).alias("x"), F.max((F.col("aspect") == b).cast("int")).alias("y"))

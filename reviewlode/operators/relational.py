@@ -64,6 +64,11 @@ def share_of_group(df: DataFrame, group: list[str], n: str, name: str) -> DataFr
     return df.withColumn(name, F.col(n) / F.sum(n).over(Window.partitionBy(*group)))
 
 
+def row_shares(df: DataFrame, group: str, value: str, names: list[str]) -> DataFrame:
+    """One row for each group with the share of each of some values among all its rows."""
+    return df.groupBy(group).agg(*[rate(F.col(value) == n).alias(n) for n in names])
+
+
 def shuffled(key: str, seed: int) -> Column:
     """A deterministic order by the md5 of key and seed, the same in any SQL engine."""
     return F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))

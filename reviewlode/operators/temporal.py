@@ -46,6 +46,21 @@ def aspect_quarterly(reviews: DataFrame, aspects: DataFrame, key: str) -> DataFr
     return per.join(totals, "quarter").withColumn("mention_rate", F.col("mentions") / F.col("total_reviews"))
 
 
+def early_late(quarterly: DataFrame, years: int = 3) -> DataFrame:
+    """Mean mention rate of each aspect in the first and the last years with data, and the change; aspects without both are left out."""
+    ends = quarterly.agg(F.min(F.year("quarter")).alias("lo_"), F.max(F.year("quarter")).alias("hi_")).withColumn("k_", F.lit(1))
+    q = quarterly.withColumn("k_", F.lit(1)).join(F.broadcast(ends), "k_")
+    early = F.avg(F.when(F.year("quarter") <= F.col("lo_") + years - 1, F.col("mention_rate")))
+    late = F.avg(F.when(F.year("quarter") >= F.col("hi_") - years + 1, F.col("mention_rate")))
+    return q.groupBy("aspect").agg(early.alias("early"), late.alias("late")).dropna().withColumn("change", F.col("late") - F.col("early"))
+
+
+def neighbour_means(trend: DataFrame, series: str, metric: str, before: int = 6, after: int = 6) -> DataFrame:
+    """Means of a metric over the rows before each month and over it and those that follow; a series has one row for each month."""
+    w = Window.partitionBy(series).orderBy("month")
+    return trend.withColumns({"mean_before": F.avg(metric).over(w.rowsBetween(-before, -1)), "mean_after": F.avg(metric).over(w.rowsBetween(0, after - 1))})
+
+
 def versions(reviews: DataFrame, app: str = "app", version: str = "version", least: int = 30, drop: float = -0.15) -> DataFrame:
     """Versions with enough reviews, against the median of their app."""
     v = (

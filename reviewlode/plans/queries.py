@@ -614,10 +614,11 @@ def _(spark, d):
 
 @query("ordinal")
 def _(spark, d):
-    x, _t = design_rows(spark, d)
-    cells = x.groupBy("complaint_ads", "complaint_ui", (F.col("score") - 1).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 20 cells
-    fit = linear.ordered_logit([((float(c.complaint_ads), float(c.complaint_ui)), c.y, c.n) for c in cells], 5)
-    rows = [("ordinal", t, e, s, None, fit["n"], "") for t, e, s in zip(("complaint_ads", "complaint_ui"), fit["coef"], fit["std_error"])] if fit else [("ordinal", "complaint_ads", None, None, None, 0, "not estimable")]
+    x, all_terms = design_rows(spark, d)
+    terms = linear.drop_sparse(x, [t for t in all_terms if t.startswith("complaint_")])
+    cells = x.groupBy(*terms, (F.col("score") - 1).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each combination of complaints and score
+    fit = linear.ordered_logit([(tuple(float(c[t]) for t in terms), c.y, c.n) for c in cells], 5)
+    rows = [("ordinal", t, e, s, linear._normal_p(e / s), *linear.interval(e, s), fit["n"], "") for t, e, s in zip(terms, fit["coef"], fit["std_error"])] if fit else [("ordinal", "complaint_ads", *[None] * 5, 0, "not estimable")]
     return spark.createDataFrame(rows, linear.SCHEMA)
 
 

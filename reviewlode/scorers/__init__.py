@@ -41,6 +41,14 @@ class LexiconScorer:
         return sentences.withColumns({"p_neg": neg / total, "p_neu": F.lit(1.0) / total, "p_pos": pos / total, "sentiment_model": F.lit(self.name)})
 
 
+def guess_language(text: str):
+    """(language, confidence) by script: the default of a language scorer; empty text is unknown with no confidence."""
+    from reviewlode.functions import text as T
+
+    empty = F.coalesce(F.col(text), F.lit("")) == ""
+    return F.when(empty, "unk").otherwise(T.script_guess(text)), F.when(empty, 0.0).otherwise(0.5)
+
+
 def canonical_order(labels: list[str]) -> list[int]:
     """Where Negative, Neutral and Positive stand among a model's labels; raises if one is missing."""
     found = {}

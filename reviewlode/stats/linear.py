@@ -10,6 +10,7 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,16 +28,38 @@ class Moments:
 
 
 def moments(df: DataFrame, y: str, terms: list[str], cluster: str) -> Moments:
-    """One groupBy over the rows; the driver gets one row for each cluster."""
-    rows = df.dropna(subset=[y, *terms, cluster]).select(cluster, F.col(y).cast("double").alias("y_"), F.lit(1.0).alias("x0"), *[F.col(t).cast("double").alias(f"x{i}") for i, t in enumerate(terms, 1)])
-    k = len(terms) + 1
-    cross = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"c{i}_{j}") for i in range(k) for j in range(i, k)]
-    got = rows.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), *cross, *[F.sum(F.col(f"x{i}") * F.col("y_")).alias(f"b{i}") for i in range(k)], F.sum(F.col("y_") * F.col("y_")).alias("yy")).toPandas()
-    xtx = np.zeros((len(got), k, k))
-    for i in range(k):
-        for j in range(i, k):
-            xtx[:, i, j] = xtx[:, j, i] = got[f"c{i}_{j}"]
-    return Moments(got[cluster].tolist(), got["n"].to_numpy(float), xtx, got[[f"b{i}" for i in range(k)]].to_numpy(float), got["yy"].to_numpy(float), ["Intercept", *terms])
+    """Cross products per cluster, summed where the rows are as matrices of Arrow batches, then by (cluster, cell).
+
+    The driver gets the cells of each cluster, so a cluster has to be a group of
+    which there are few, such as an app.
+    """
+    kind = dict(df.dtypes)[cluster]
+    rows = df.dropna(subset=[y, *terms, cluster]).select(F.col(cluster).alias("g_"), *[F.col(t).cast("double").alias(f"x{i}") for i, t in enumerate([*terms, y], 1)])
+    k = len(terms) + 2  # an intercept before the terms, y after them
+    upper = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def run(batches):
+        sums: dict = {}
+        of = None
+        for batch in batches:
+            of = batch.schema.field(0).type
+            keys, where = np.unique(np.array(batch.column(0).to_pylist(), dtype=object), return_inverse=True)
+            z = np.column_stack([np.ones(batch.num_rows), *[c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]])
+            for i, key in enumerate(keys):
+                part = z[where == i]
+                sums[key] = sums.get(key, 0.0) + part.T @ part
+        for key, m in sums.items():
+            cells = [float(m[i, j]) for i, j in upper]
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(cells), of), pa.array(range(len(cells)), pa.int32()), pa.array(cells, pa.float64())], names=["g_", "cell", "v"])
+
+    got = rows.mapInArrow(run, f"g_ {kind}, cell int, v double").groupBy("g_", "cell").agg(F.sum("v").alias("v")).toPandas()
+    keys = sorted(got["g_"].unique().tolist())
+    full = np.zeros((len(keys), k, k))
+    at = {g: i for i, g in enumerate(keys)}
+    for g, cell, v in zip(got["g_"], got["cell"], got["v"]):
+        i, j = upper[cell]
+        full[at[g], i, j] = full[at[g], j, i] = v
+    return Moments(keys, full[:, 0, 0], full[:, :-1, :-1], full[:, :-1, -1], full[:, -1, -1], ["Intercept", *terms])
 
 
 @dataclass
@@ -52,10 +75,17 @@ class Fit:
     extra: dict = field(default_factory=dict)
 
     def rows(self, model: str) -> list[tuple]:
-        return [(model, t, e, s, p, self.n, self.note) for t, e, s, p in zip(self.terms, self.estimate, self.std_error, self.p_value)]
+        return [(model, t, e, s, p, *interval(e, s), self.n, self.note) for t, e, s, p in zip(self.terms, self.estimate, self.std_error, self.p_value)]
 
 
-SCHEMA = "model string, term string, estimate double, std_error double, p_value double, n bigint, note string"
+SCHEMA = "model string, term string, estimate double, std_error double, p_value double, low double, high double, n bigint, note string"
+
+
+def interval(estimate: float | None, std_error: float | None, z: float = 1.96) -> tuple[float | None, float | None]:
+    """Bounds of the normal interval; null without an error."""
+    if estimate is None or std_error is None:
+        return None, None
+    return estimate - z * std_error, estimate + z * std_error
 
 
 def _none(m: Moments) -> Fit:
@@ -131,6 +161,45 @@ def weighted_trend(df: DataFrame, y: str, columns: list[str], weight: str) -> tu
     return np.linalg.solve(a, x.T @ (w * t)).tolist(), len(rows)
 
 
+def weighted_fit(df: DataFrame, y: str, columns: list[str], weight: str) -> list[tuple[str, float, float, float]]:
+    """(term, estimate, error, t) of a weighted regression over a small table; empty if singular or without degrees of freedom."""
+    rows = df.dropna(subset=[y, *columns, weight]).select(y, *columns, weight).toPandas()
+    x = np.column_stack([np.ones(len(rows)), *[rows[c].to_numpy(float) for c in columns]])
+    w, t = rows[weight].to_numpy(float), rows[y].to_numpy(float)
+    a = x.T @ (x * w[:, None])
+    free = len(rows) - x.shape[1]
+    if free < 1 or np.linalg.matrix_rank(a) < x.shape[1]:
+        return []
+    inv = np.linalg.inv(a)
+    beta = inv @ (x.T @ (w * t))
+    s2 = float((w * (t - x @ beta) ** 2).sum() / free)
+    error = np.sqrt(np.diag(inv) * s2)
+    return [(c, float(b), float(e), float(b / e) if e > 0 else 0.0) for c, b, e in zip(["Intercept", *columns], beta, error)]
+
+
+def student_p(t: float, free: int) -> float:
+    """Two-sided p of a t value, by the continued fraction of the incomplete beta function."""
+    a, b, x = free / 2, 0.5, free / (free + t * t)
+    if x >= 1:
+        return 1.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x))
+    flip = x > (a + 1) / (a + b + 2)
+    if flip:
+        a, b, x = b, a, 1 - x
+    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    h = d
+    for m in range(1, 300):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + num * d, 1 + num / c
+            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+            h *= d * c
+        if abs(d * c - 1) < 1e-14:
+            break
+    value = front * h / a
+    return 1 - value if flip else value
+
+
 def drop_sparse(df: DataFrame, terms: list[str], least: int = 25) -> list[str]:
     """Terms with at least ``least`` positive rows; one aggregate."""
     got = df.agg(*[F.sum(F.when(F.col(t) > 0, 1).otherwise(0)).alias(t) for t in terms]).first()
