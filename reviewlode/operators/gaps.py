@@ -50,8 +50,8 @@ def same_group(rows: DataFrame, key: str, within: str, a: str, b: str) -> DataFr
 
 
 def gap_matrix(features: DataFrame, aspects: DataFrame, demand: DataFrame) -> DataFrame:
-    """Per app and aspect: promise, mentions, negative rate, demand, and whether the promise is broken."""
-    per = aspects.where("NOT is_request").groupBy("app", "aspect").agg(F.countDistinct("reviewId").alias("n_mentions"), F.count_if(F.col("sentiment_label") == "Negative").alias("n_negative"))
+    """Per app and aspect: promise, mentions, negative rate, demand, and whether the promise is broken; aspect rows are unique by review and aspect."""
+    per = aspects.where("NOT is_request").groupBy("app", "aspect").agg(F.count(F.lit(1)).alias("n_mentions"), F.count_if(F.col("sentiment_label") == "Negative").alias("n_negative"))
     asked = demand.where("aspect IS NOT NULL").where(F.col("request_type").isin("request", "absence")).groupBy("app", "aspect").agg(F.countDistinct("reviewId").alias("demand_signals"))
     g = features.select("app", "aspect", "feature_present", "promise_source").join(per, ["app", "aspect"], "left").join(asked, ["app", "aspect"], "left")
     g = g.withColumn("neg_rate", F.try_divide(F.col("n_negative").cast("double"), F.col("n_mentions"))).fillna(0, ["n_mentions", "n_negative", "demand_signals"])

@@ -10,6 +10,10 @@ from reviewlode.operators import relational
 from reviewlode.stats import agreement
 
 
+#: Most labels of a shortlist.
+MOST_LABELS = 1000
+
+
 def cluster(df: DataFrame, key: str, embedding: str, k: int, seed: int = 42, outlier: float = 0.95) -> DataFrame:
     """key, topic_id, distance by k-means; rows beyond the ``outlier`` quantile of the distance are topic -1."""
     from pyspark.ml.clustering import KMeans
@@ -53,8 +57,10 @@ def terms(docs: DataFrame, topic: str, text: str, stopwords: list[str], top: int
 
 
 def nearest(items: DataFrame, labels: DataFrame, k: int = 5) -> DataFrame:
-    """The ``k`` labels nearest to each item by cosine.  ``labels`` (label, vector) is a list of a few dozen; it becomes a literal array of every row."""
-    rows = labels.orderBy("label").limit(1000).collect()
+    """The ``k`` labels nearest to each item by cosine.  ``labels`` (label, vector) is a list of at most ``MOST_LABELS``, which becomes a literal array; longer ones are refused."""
+    rows = labels.orderBy("label").limit(MOST_LABELS + 1).collect()
+    if len(rows) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
     if not rows:
         return items.limit(0).select("item", F.lit("").alias("label"), F.lit(0.0).alias("cosine"), F.lit(0).alias("rank"))
     lit = F.array(*[F.struct(F.lit(r.label).alias("label"), F.array(*[F.lit(float(x)) for x in r.vector]).alias("v")) for r in rows])

@@ -5,6 +5,8 @@ The SQL of the same roles is in ``BASE_SQL``, written independently.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,10 @@ LEXICON = [
     Aspect("ui", ["letters too small", "design", "night theme"]),
     Aspect("widgets", ["home widget", "watch face"]),
 ]
+if os.environ.get("REVIEWLODE_LEXICON"):  # a YAML file with aspects of one's own
+    from reviewlode.sources.readers import read_lexicon
+
+    LEXICON = read_lexicon(os.environ["REVIEWLODE_LEXICON"])
 PATTERNS = patterns.compile_lexicon(LEXICON)
 PROMISES = patterns.compile_lexicon(LEXICON, promise=True)
 STOPWORDS = "the and for are was with this that you your has have had not but all can its our from they too very which when".split()

@@ -319,7 +319,7 @@ def _(spark, d):
 
 
 @query("bimodality", """, st AS (SELECT count(score)::DOUBLE AS n, avg(score) AS m FROM r), c AS (SELECT any_value(n) AS n, sum(power(score - m, 2)) / any_value(n) AS m2, sum(power(score - m, 3)) / any_value(n) AS m3, sum(power(score - m, 4)) / any_value(n) AS m4 FROM r, st WHERE score IS NOT NULL),
-  g AS (SELECT n, sqrt(n * (n - 1)) / (n - 2) * m3 / power(m2, 1.5) AS skew, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / (m2 * m2) - 3) + 6) AS kurt FROM c) SELECT round((skew * skew + 1) / (kurt + 3 * (n - 1) * (n - 1) / ((n - 2) * (n - 3))), 6) AS bimodality FROM g""")
+  g AS (SELECT n, m3 / power(m2, 1.5) AS skew, m4 / (m2 * m2) - 3 AS kurt FROM c) SELECT round((skew * skew + 1) / (kurt + 3 * (n - 1) * (n - 1) / ((n - 2) * (n - 3))), 6) AS bimodality FROM g""")
 def _(spark, d):
     h = {float(x.score): x.n for x in B.reviews(spark, d).where("score IS NOT NULL").groupBy("score").agg(F.count(F.lit(1)).alias("n")).collect()}  # five rows
     return r6(spark.createDataFrame([(small.bimodality(h),)], "bimodality double"))

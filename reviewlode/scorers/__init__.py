@@ -6,6 +6,7 @@ A scorer maps a DataFrame with a ``sentence`` column to one with ``p_neg``,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from typing import Protocol
 
@@ -119,33 +120,61 @@ def valence_lexicon(path: str) -> dict[str, float]:
     return dict(zip(frame.w, frame.v.astype(float)))
 
 
+# Words that strengthen or weaken the one after them, and words that turn it round.
+BOOSTERS = dict.fromkeys("absolutely amazingly completely considerably deeply enormously entirely especially exceptionally extremely fully greatly highly hugely incredibly intensely particularly purely quite really remarkably so substantially thoroughly totally tremendously unbelievably utterly very".split(), 0.293) | dict.fromkeys("almost barely hardly kinda less little marginally occasionally partly scarcely slightly somewhat sorta".split(), -0.293)
+NEGATIONS = frozenset("aint arent cannot cant couldnt didnt doesnt dont hadnt hasnt havent isnt mightnt mustnt neither never none nope nor not nothing nowhere shouldnt wasnt werent without wont wouldnt rarely seldom despite no".split())
+#: What an upper-case word among others adds, what a negation does, and the weight of words further back.
+SHOUT, TURN, BACK = 0.733, -0.74, (1.0, 0.95, 0.9)
+
+
+def valences(text: str, lexicon: dict[str, float]) -> dict[str, float]:
+    """neg, neu, pos and compound of a text by the published rules: boosters, capitals, negation, contrast and end marks."""
+    words = [w for w in (x.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") or x for x in text.split()) if len(w) > 1 or w in lexicon]
+    low = [w.lower() for w in words]
+    plain = [w.replace("'", "").replace("’", "") for w in low]
+    some_shout = any(w.isupper() for w in words) and not all(w.isupper() for w in words)
+    got = []
+    for i, w in enumerate(low):
+        v = 0.0 if w in BOOSTERS else lexicon.get(w, 0.0)
+        if v:
+            if some_shout and words[i].isupper():
+                v += SHOUT if v > 0 else -SHOUT
+            for back in range(min(3, i)):
+                p = i - back - 1
+                if low[p] in lexicon and low[p] not in BOOSTERS and plain[p] not in NEGATIONS:
+                    continue
+                boost = BOOSTERS.get(low[p], 0.0)
+                if boost:
+                    boost += (SHOUT if boost > 0 else -SHOUT) if some_shout and words[p].isupper() else 0.0
+                    v += (boost if v > 0 else -boost) * BACK[back]
+                if plain[p] in NEGATIONS:
+                    v *= TURN
+        got.append(v)
+    if "but" in low:
+        at = low.index("but")
+        got = [v * 0.5 if i < at else v * 1.5 if i > at else v for i, v in enumerate(got)]
+    marks = min(text.count("!"), 4) * 0.292
+    asks = text.count("?")
+    marks += 0.0 if asks < 2 else asks * 0.18 if asks <= 3 else 0.96
+    total = sum(got)
+    total += marks if total > 0 else -marks if total < 0 else 0.0
+    pos, neg, neu = sum(v + 1 for v in got if v > 0), sum(v - 1 for v in got if v < 0), sum(v == 0 for v in got)
+    if pos > abs(neg):
+        pos += marks
+    elif pos < abs(neg):
+        neg -= marks
+    whole = pos + abs(neg) + neu
+    share = lambda x: abs(x) / whole if whole else 0.0
+    return {"neg": share(neg), "neu": share(neu), "pos": share(pos), "compound": max(-1.0, min(1.0, total / math.sqrt(total * total + 15))) if total else 0.0}
+
+
 def compound_scorer(lexicon: dict[str, float], text: str = "sentence"):
-    """A rule-based compound score in [-1, 1] of a text column: valences with negation and boosters, normalised by sqrt(s^2 + 15)."""
-    boosters = {"very": 0.293, "really": 0.293, "extremely": 0.293, "so": 0.293, "slightly": -0.293, "barely": -0.293}
-    negations = {"not", "no", "never", "without", "isn't", "don't", "doesn't", "didn't", "can't", "won't"}
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        def one(t):
-            if not t:
-                return 0.0 if t == "" else None
-            words = t.lower().split()
-            total = 0.0
-            for i, w in enumerate(words):
-                v = lexicon.get(w.strip(".,!?;:\"'()"), 0.0)
-                if v:
-                    for back in range(1, 4):
-                        if i >= back:
-                            p = words[i - back].strip(".,!?")
-                            if p in boosters:
-                                v += (1 if v > 0 else -1) * boosters[p] * (1.0, 0.95, 0.9)[back - 1]
-                            if p in negations:
-                                v *= -0.74
-                    total += v
-            total += (1 if total > 0 else -1 if total < 0 else 0) * min(t.count("!"), 4) * 0.292
-            return total / (total * total + 15) ** 0.5 if total else 0.0
-
-        return texts.map(one)
+    """neg, neu, pos and compound of a text column as a struct, by ``valences``; null text gives nulls.  For distinct texts."""
+
+    @F.pandas_udf("neg double, neu double, pos double, compound double")
+    def score(texts: pd.Series) -> pd.DataFrame:
+        rows = [valences(t, lexicon) if isinstance(t, str) else dict.fromkeys(("neg", "neu", "pos", "compound")) for t in texts]
+        return pd.DataFrame(rows, columns=["neg", "neu", "pos", "compound"], dtype=float)
 
     return score(F.col(text))
 
@@ -164,6 +193,39 @@ class Routed:
         return out
 
 
+class ZeroShot:
+    """Labels for sentences by entailment: distinct sentences, each with a shortlist of labels, scored as pairs.
+
+    ``load`` gives a function of (sentences, hypotheses) to rows of logits
+    (contradiction, neutral, entailment); a label's score is the share of
+    entailment against contradiction.  ``shortlist`` maps distinct sentences to
+    (sentence, label); without it every label of ``labels`` is tried.  Off by
+    default: nothing calls it unless a model is supplied.
+    """
+
+    def __init__(self, name: str, load: Callable[[], Callable[[list[str], list[str]], list]], labels: dict[str, str], shortlist: Callable[[DataFrame], DataFrame] | None = None):
+        """``labels``: label to hypothesis, a list of a few dozen."""
+        self.name, self.load, self.labels, self.shortlist = name, load, labels, shortlist
+
+    def __call__(self, sentences: DataFrame) -> DataFrame:
+        """sentence, aspect, zeroshot_score of every pair, to be joined back on the text."""
+        once = sentences.select("sentence").where(F.col("sentence").isNotNull()).distinct()
+        if self.shortlist:
+            pairs = self.shortlist(once).select("sentence", F.col("label").alias("aspect"))
+        else:
+            pairs = once.select("sentence", F.explode(F.array(*map(F.lit, self.labels))).alias("aspect"))
+        load, says = self.load, dict(self.labels)
+
+        def score(frames):
+            run = load()
+            for f in frames:
+                items = [f"{s}\x1f{says[a]}" for s, a in zip(f["sentence"], f["aspect"])]
+                logits = with_backoff(lambda part: list(run(*map(list, zip(*[x.split("\x1f", 1) for x in part])))), items)
+                yield f.assign(zeroshot_score=[1.0 / (1.0 + math.exp(no - yes)) for no, _, yes in logits])
+
+        return pairs.mapInPandas(score, "sentence string, aspect string, zeroshot_score double")
+
+
 def backstop(unmatched: DataFrame, score: Callable[[DataFrame], DataFrame], threshold: float = 0.75, least_words: int = 3) -> DataFrame:
     """Aspects for sentences that no pattern matched: ``score`` adds aspect and zeroshot_score; scores at or over the threshold stay."""
     long = unmatched.where(F.size(F.split(F.trim("sentence"), r"\s+")) >= least_words)

@@ -23,6 +23,23 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return b.config(map=settings).getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers as a zip, where it is not installed on them."""
+    import io
+    import pathlib
+    import tempfile
+    import zipfile
+
+    root = pathlib.Path(__file__).parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for f in root.rglob("*.py"):
+            z.write(f, pathlib.Path("reviewlode") / f.relative_to(root))
+    with tempfile.NamedTemporaryFile(prefix="reviewlode", suffix=".zip", delete=False) as f:  # read once by the driver
+        f.write(data.getvalue())
+    spark.sparkContext.addPyFile(f.name)
+
+
 def checkpointing(spark: SparkSession, local_default: str | None = None) -> bool:
     """Sets the shared checkpoint folder that the cluster names; ``local_default`` only where it names none, as in tests."""
     sc = spark.sparkContext

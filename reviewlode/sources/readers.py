@@ -37,6 +37,14 @@ def require(spark: SparkSession, path: str, made_by: str) -> str:
     return path
 
 
+def require_columns(df: DataFrame, columns: list[str], made_by: str) -> DataFrame:
+    """The same rows if all columns are there; the message names those that are missing."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise MissingInput(f"columns {missing} are missing; they are made by {made_by}")
+    return df
+
+
 def read_reviews(spark: SparkSession, pattern: str) -> DataFrame:
     """Review CSV files, one folder for each app, as text, with the folder as ``app_dir``; quoted line breaks belong to a field."""
     df = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(pattern)
@@ -85,18 +93,28 @@ def feature_value(cell, row_blank: bool) -> float | None:
 
 
 def read_feature_sheet(spark: SparkSession, path: str, features: list[str], name: str = "App Name", skip: int = 3) -> DataFrame:
-    """A small spreadsheet export: spacer rows, a header, one row for each app; rows without a name are dropped."""
+    """A small spreadsheet export: spacer rows, a header, one row for each app; rows without a name are dropped.
+
+    Beside the features come package (given, else of the link), link, rating
+    (null if no number), rating_count and downloads as written, and is_annotated.
+    """
     import pandas as pd
 
-    sheet = pd.read_csv(path, header=skip, dtype=str)
-    rows = []
-    for _, r in sheet.iterrows():
-        label = "" if r.get(name) != r.get(name) else " ".join(str(r.get(name)).split())
-        if label:
-            cells = [r.get(f) for f in features]
-            blank = all(c is None or c != c or not str(c).strip() for c in cells)
-            rows.append((label, *[feature_value(c, blank) for c in cells]))
-    return spark.createDataFrame(rows, "app_name string, " + ", ".join(f"`{f}` double" for f in features))
+    sheet = pd.read_csv(path, header=skip, dtype=str, keep_default_na=False)
+    text = lambda c: sheet[c].str.strip() if c in sheet else pd.Series([""] * len(sheet))
+    out = pd.DataFrame({"app_name": text(name).str.split().str.join(" ")})
+    out["link"] = text("Link").replace("", None)
+    out["package"] = text("package name").where(text("package name") != "", text("Link").str.extract(r"[?&]id=([^&]+)", expand=False))
+    out["rating"] = pd.to_numeric(text("Rating"), errors="coerce")
+    out["rating_count"], out["downloads"] = text("Rating Count").replace("", None), text("Downloads").replace("", None)
+    cells = pd.DataFrame({f: text(f) for f in features})
+    blank = (cells == "").all(axis=1)
+    out["is_annotated"] = ~blank
+    for f in features:
+        out[f] = [feature_value(c, b) for c, b in zip(cells[f], blank)]
+    out = out[out["app_name"] != ""]
+    rows = [tuple(None if v != v else v for v in r) for r in out.astype(object).to_numpy().tolist()]
+    return spark.createDataFrame(rows, "app_name string, link string, package string, rating double, rating_count string, downloads string, is_annotated boolean, " + ", ".join(f"`{f}` double" for f in features))
 
 
 def read_lexicon(path: str) -> list[Aspect]:
@@ -142,6 +160,24 @@ class ScoreCache:
         new.write.mode("append").parquet(self.path)
         return keyed.join(self.stored(columns), "key_").drop("key_")
 
+    def keep_only(self, texts: DataFrame, text: str, columns: str) -> None:
+        """Forgets scores of texts that are no longer there, or of another configuration."""
+        live = texts.select(self.key(text).alias("key_")).distinct()
+        fresh = f"{self.path}_{time.time_ns()}"
+        self.stored(columns).join(live, "key_", "left_semi").write.parquet(fresh)
+        self.clear()
+        self._path(fresh).rename(self._hadoop(fresh), self._hadoop(self.path))
+
+    def clear(self) -> None:
+        """Forgets all scores."""
+        self._path(self.path).delete(self._hadoop(self.path), True)
+
+    def _hadoop(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _path(self, path: str):
+        return self._hadoop(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
 
 class LabelsPresent(RuntimeError):
     """A sheet with human labels would be overwritten."""

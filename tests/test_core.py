@@ -208,6 +208,10 @@ def test_metadata_and_sheets(spark, tmp_path):
     sheet.write_text(",,\n,,\n,,\nApp Name,F1,F2\nOne,✓,\nTwo,x,Google Maps\nThree,,\n,✓,✓\n")
     got = {r.app_name: (r.F1, r.F2) for r in readers.read_feature_sheet(spark, str(sheet), ["F1", "F2"]).collect()}
     assert got == {"One": (1.0, 0.0), "Two": (0.0, 1.0), "Three": (None, None)}
+    sheet.write_text(",,\n,,\n,,\nApp Name,Rating,Rating Count,Downloads,package name,Link,F1\nOne,3.9`,12,1M+,,https://s.example/d?hl=en&id=a.b&gl=us,✓\nTwo,4.5,,,c.d,,\n")
+    got = {r.app_name: r for r in readers.read_feature_sheet(spark, str(sheet), ["F1"]).collect()}
+    assert (got["One"].package, got["One"].rating, got["One"].downloads, got["One"].is_annotated) == ("a.b", None, "1M+", True)
+    assert (got["Two"].package, got["Two"].rating, got["Two"].is_annotated, got["Two"].F1) == ("c.d", 4.5, False, None)
     lex = tmp_path / "lex.yaml"
     lex.write_text("ads:\n  keywords: [ads]\n  csv_column: null\nempty: {}\n")
     assert [a.name for a in readers.read_lexicon(str(lex))] == ["ads", "empty"]
@@ -225,6 +229,10 @@ def test_cache_scores_new_texts_only(spark, tmp_path):
     assert {r.t: r.v for r in c.scored(a, "t", "v double", score).collect()} == {"x": 1.0, "yy": 2.0}
     assert {r.t: r.v for r in c.scored(a.union(spark.createDataFrame([("zzz",)], "t string")), "t", "v double", score).collect()} == {"x": 1.0, "yy": 2.0, "zzz": 3.0}
     assert seen == [2, 1]
+    c.keep_only(a.where("t = 'x'"), "t", "v double")
+    assert [r.v for r in c.stored("v double").collect()] == [1.0]
+    c.clear()
+    assert c.stored("v double").count() == 0
 
 
 def test_sheets_manifest_and_require(spark, tmp_path):
@@ -241,6 +249,8 @@ def test_sheets_manifest_and_require(spark, tmp_path):
     assert json.loads((tmp_path / "m.jsonl").read_text())["facts"] == {"n": 3}
     with pytest.raises(readers.MissingInput):
         readers.require(spark, str(tmp_path / "none"), "nobody")
+    with pytest.raises(readers.MissingInput):
+        readers.require_columns(spark.range(1), ["id", "other"], "nobody")
 
 
 def test_streamed_windows(spark, tmp_path):

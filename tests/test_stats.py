@@ -181,3 +181,54 @@ def test_routing_and_backstop(spark):
     u = spark.createDataFrame([("one two three",), ("short",)], "sentence string")
     kept = backstop(u, lambda df: df.withColumn("aspect", F.lit("a")).withColumn("zeroshot_score", F.lit(0.75))).collect()
     assert [r.sentence for r in kept] == ["one two three"]
+
+
+def test_valences_follow_the_published_rules():
+    from reviewlode.scorers import valences
+
+    lex = {"good": 1.9, "bad": -2.5, "great": 3.1}
+    c = lambda t: valences(t, lex)["compound"]
+    assert c("") == 0 and c("it is here") == 0
+    assert abs(c("good") - 1.9 / (1.9**2 + 15) ** 0.5) < 1e-12
+    assert c("very good") > c("good") > c("slightly good") and c("good!!!") > c("good") and c("it is GOOD") > c("it is good")
+    assert c("not good") < 0 < c("good") and c("doesn't look good") < 0 and abs(c("not good")) < c("good")
+    assert c("good but bad") < c("bad good")
+    v = valences("the app is good and bad", lex)
+    assert abs(v["neg"] + v["neu"] + v["pos"] - 1) < 1e-9
+
+
+def test_scores_as_columns(spark):
+    from reviewlode.scorers import compound_scorer
+
+    df = spark.createDataFrame([("good",), (None,), ("",)], "sentence string").withColumn("s", compound_scorer({"good": 1.9}))
+    got = [r.s for r in df.collect()]
+    assert got[0].pos == 1.0 and got[1].compound is None and got[2].compound == 0.0
+
+
+def test_zero_shot_scores_each_text_once(spark):
+    from reviewlode.scorers import ZeroShot, backstop
+
+    def load():
+        return lambda texts, says: [(0.0, 0.0, 3.0 if s.split()[-1] in t else -3.0) for t, s in zip(texts, says)]
+
+    z = ZeroShot("fake", load, {"qibla": "about the qibla", "ads": "about ads"})
+    s = spark.createDataFrame([("the qibla is off",), ("the qibla is off",), ("too many ads here",), (None,)], "sentence string")
+    got = {(r.sentence, r.aspect) for r in backstop(s, z, 0.75).collect()}
+    assert got == {("the qibla is off", "qibla"), ("too many ads here", "ads")}
+
+
+def test_weighted_fit_and_p_values(spark):
+    import numpy as np
+
+    from reviewlode.stats import linear
+
+    r = np.random.default_rng(1)
+    x, w = r.normal(size=30), r.integers(1, 9, 30).astype(float)
+    y = 2 + 3 * x + r.normal(size=30)
+    got = linear.weighted_fit(spark.createDataFrame([(float(a), float(b), float(c)) for a, b, c in zip(x, y, w)], "x double, y double, w double"), "y", ["x"], "w")
+    a = np.column_stack([np.ones(30), x])
+    beta = np.linalg.lstsq(a * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0]
+    assert np.allclose([g[1] for g in got], beta)
+    # published quantiles: 2.228 at 10 and 1.960 at very many degrees of freedom leave 5 %
+    assert abs(linear.student_p(2.2281388520, 10) - 0.05) < 1e-6 and abs(linear.student_p(1.959964, 10**7) - 0.05) < 1e-4 and linear.student_p(0.0, 5) == 1.0
+    assert linear.interval(1.0, None) == (None, None) and linear.interval(1.0, 1.0) == (1.0 - 1.96, 1.0 + 1.96)
