@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 #: Most bytes of bitmaps sent to every executor at once.
 BROADCAST_BYTES = 64 << 20
+#: Rows of a core's share below which a table is too small to be read by all cores.
+SMALL_ROWS = 100_000
 #: Rows of a bitmap of Spark's bitmap functions, and its bytes.
 BLOCK_ROWS, BLOCK_BYTES = 32768, 4096
 
@@ -67,6 +69,7 @@ class KeepVectors:
     vectors: DataFrame
     n_files: int
     identity: Callable[[str], Column] = message_id
+    _rows: int | None = None
 
     @staticmethod
     def build(spark: SparkSession, path: str, id_column: str, order_column: str, identity: Callable[[str], Column] = message_id) -> KeepVectors:
@@ -86,8 +89,7 @@ class KeepVectors:
 
     def _groups(self) -> list[DataFrame]:
         """The vectors in groups of files that are each small enough to broadcast."""
-        footers = self.spark.read.parquet(self.path).select(F.xxhash64("_metadata.file_path").alias("file_"))
-        n_blocks = footers.count() // BLOCK_ROWS + self.n_files  # from the footers, an upper bound
+        n_blocks = self.n_rows() // BLOCK_ROWS + self.n_files  # from the footers, an upper bound
         groups = max(1, -(-n_blocks * BLOCK_BYTES // BROADCAST_BYTES))
         if groups == 1:
             return [self.vectors]
@@ -114,6 +116,17 @@ class KeepVectors:
         need = list(dict.fromkeys([*columns, self.id_column]))
         return self._marked(need).where("kept_").select(*columns)
 
+    def spread(self, df: DataFrame, key: str) -> DataFrame:
+        """Rows of a table with fewer blocks than cores, spread over the cores; those of larger ones stay where they are read."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores, key) if self.n_rows() < SMALL_ROWS * cores else df
+
+    def n_rows(self) -> int:
+        """Rows of the table, from the footers."""
+        if self._rows is None:
+            self._rows = self.spark.read.parquet(self.path).count()
+        return self._rows
+
     def repeated(self, columns: list[str]) -> DataFrame:
         """The rows that are left out."""
         need = list(dict.fromkeys([*columns, self.id_column]))

@@ -49,9 +49,9 @@ def reviews(spark: SparkSession, d: str) -> DataFrame:
     """
     once = delivery.KeepVectors.build(spark, f"{d}/reviews.parquet", "reviewId", "row_id", F.col)
     r = once.keep(["row_id", "reviewId", "app_dir", "content", "score", "at", "repliedAt", "replyContent", "thumbsUpCount", "reviewCreatedVersion"])
-    r = r.where("reviewId IS NOT NULL").withColumnsRenamed({"app_dir": "app", "reviewCreatedVersion": "version"})
-    t = text.clean("content")
-    r = r.withColumn("text", t).withColumn("n_words", text.n_words("text"))
+    r = once.spread(r.where("reviewId IS NOT NULL"), "row_id").withColumnsRenamed({"app_dir": "app", "reviewCreatedVersion": "version"})
+    # as a generator the text is made once; as a column, filters on it would make it again where the rows are read
+    r = r.select("*", F.explode(F.array(text.clean("content"))).alias("text")).withColumn("n_words", text.n_words("text"))
     flagged = r.withColumns(
         {
             "has_reply": F.coalesce(F.trim("replyContent") != "", F.lit(False)),
