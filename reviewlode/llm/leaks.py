@@ -11,8 +11,9 @@ word against the item, question and answer alike.
 An opening sentence that at least ``SHARED_BY`` different items share is an
 instruction and not counted; openings are counted over all items, whatever the
 blocks.  Case, punctuation, blanks, markup and look-alike letters do not matter.
-Null, empty and short texts carry nothing; repeated documents are each
-reported; a document may carry several items.
+Null, empty and short texts carry nothing; items without an id are left out, as
+nothing could name them, and repeated items are one.  Repeated documents are each
+reported; a document may carry several items, each once.
 """
 
 from __future__ import annotations
@@ -280,7 +281,8 @@ def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[dict[str, i
 
 def marked_items(items: DataFrame) -> DataFrame:
     """item_id, text, shared: whether at least ``SHARED_BY`` different items of all begin with its opening sentence."""
-    heads = map_rows(items.where("text IS NOT NULL").select("item_id", "text"), f"item_id {dict(items.dtypes)['item_id']}, text string, head string", lambda: lambda i, t: [(i, t, opening(t))])
+    items = items.where("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text").distinct()
+    heads = map_rows(items, f"item_id {dict(items.dtypes)['item_id']}, text string, head string", lambda: lambda i, t: [(i, t, opening(t))])
     common = heads.where("head <> ''").select("head", "text").distinct().groupBy("head").agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") >= SHARED_BY)
     return heads.join(common, "head", "left").select("item_id", "text", F.col("n_").isNotNull().alias("shared"))
 
@@ -303,7 +305,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
             index = once_a_worker(token, lambda: Index(*parts))
 
             def one(k, text):
-                return [(k, index.ids[i], a, z) for i, (a, z) in sorted(index.carried(plain_words(text)).items())]
+                found = {index.ids[i]: span for i, span in sorted(index.carried(plain_words(text)).items(), reverse=True)}
+                return [(k, i, *span) for i, span in sorted(found.items())]
 
             return one
 

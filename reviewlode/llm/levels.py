@@ -18,7 +18,8 @@ up by a join; these are rare by nature, so that no key is hot.
 Null, blank and letterless texts and texts in other languages have no level;
 headings and passages of the test items do not count.  Texts are read whole; a
 text without end marks is judged in runs of words.  Words that no document has
-rank after all others.  Repeated documents each get their level; ties go to the
+rank after all others.  Passages without a level, language or text calibrate
+nothing.  A repeated document has one row by its id; ties go to the
 level that its sentences fit better.
 """
 
@@ -287,7 +288,7 @@ def grade(docs: DataFrame, graded: DataFrame, items: DataFrame, most: int = BROA
         ranked = ranked.checkpoint()  # words and ranks alone, no texts
     voc = Vocabulary(ranked, most)
     none = (frozenset(), frozenset())
-    known = graded.select("passage_id", "reading_level", "text", "lang").where(F.col("lang").isin(langs))
+    known = graded.select("passage_id", "reading_level", "text", "lang").where(F.col("lang").isin(langs) & F.col("reading_level").isNotNull())
     measures(known, ["passage_id", "reading_level"], "text", "lang", voc, shared, langs, none).createOrReplaceTempView("p10_graded")
     table_ = spark.sql(CALIBRATE)
     # four rows for each language and level
