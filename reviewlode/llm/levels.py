@@ -79,7 +79,7 @@ def units(text: str, grams: frozenset = frozenset(), voc: frozenset = frozenset(
         if lines and len(words) <= 8 and not _END.search(s) and (b >= len(text) or text[b : b + 1] in "\r\n"):
             continue  # a heading
         no += 1
-        if grams and (not s.isascii() or sum(w in voc for w in s.lower().replace("-", " ").split()) >= RUN - 2):
+        if grams and (not s.isascii() or "-" in s or len([w for w in words if w in voc]) >= RUN - 2):
             p = plain_words(s)
             if any(tuple(p[i : i + RUN]) in grams for i in range(len(p) - RUN + 1)):
                 continue  # of a test item
@@ -224,14 +224,16 @@ CALIBRATE = """
     FROM m JOIN med ON m.lang = med.lang AND m.reading_level = med.reading_level AND m.name = med.name
     GROUP BY m.lang, m.reading_level, m.name"""
 
-#: Fit of every sentence with every level without a shuffle, then the level of most sentences of each document.
+#: Fit of every sentence with every level where the sentences are, then the level of most sentences of each document.
+#: The levels are sent to the sentences: a row for each language, of which there are few.
 GRADE = """
-    WITH levels AS (SELECT lang, collect_list(struct(reading_level, mids, spreads)) AS levels
-                    FROM (SELECT lang, reading_level, map_from_entries(collect_list(struct(name, mid))) AS mids, map_from_entries(collect_list(struct(name, spread))) AS spreads
-                          FROM p10_calibrated GROUP BY lang, reading_level) GROUP BY lang),
-         best AS (SELECT doc_id, array_max(transform(l.levels, v -> struct(
-                      - least(abs(m1 - v.mids['m1']) / v.spreads['m1'], 8.0) - ln(v.spreads['m1']) - least(abs(m2 - v.mids['m2']) / v.spreads['m2'], 8.0) - ln(v.spreads['m2'])
-                      - least(abs(m3 - v.mids['m3']) / v.spreads['m3'], 8.0) - ln(v.spreads['m3']) - least(abs(m4 - v.mids['m4']) / v.spreads['m4'], 8.0) - ln(v.spreads['m4']) AS score,
+    WITH wide AS (SELECT lang, reading_level, sum(ln(spread)) AS c,
+                      max(CASE name WHEN 'm1' THEN mid END) AS a1, max(CASE name WHEN 'm1' THEN spread END) AS s1, max(CASE name WHEN 'm2' THEN mid END) AS a2, max(CASE name WHEN 'm2' THEN spread END) AS s2,
+                      max(CASE name WHEN 'm3' THEN mid END) AS a3, max(CASE name WHEN 'm3' THEN spread END) AS s3, max(CASE name WHEN 'm4' THEN mid END) AS a4, max(CASE name WHEN 'm4' THEN spread END) AS s4
+                  FROM p10_calibrated GROUP BY lang, reading_level),
+         levels AS (SELECT lang, collect_list(struct(*)) AS levels FROM wide GROUP BY lang),
+         best AS (SELECT /*+ BROADCAST(l) */ doc_id, array_max(transform(l.levels, v -> struct(
+                      - least(abs(m1 - v.a1) / v.s1, 8.0) - least(abs(m2 - v.a2) / v.s2, 8.0) - least(abs(m3 - v.a3) / v.s3, 8.0) - least(abs(m4 - v.a4) / v.s4, 8.0) - v.c AS score,
                       v.reading_level AS level))) AS top
                   FROM p10_measured m JOIN levels l ON m.lang = l.lang),
          votes AS (SELECT doc_id, top.level AS level, count(*) AS n, sum(top.score) AS total FROM best GROUP BY doc_id, top.level)

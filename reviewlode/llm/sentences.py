@@ -53,6 +53,8 @@ _OTHERWISE = frozenset("no nos art fig sec ch co al est ext h m fr str ir im".sp
 _NEVER = {lang: frozenset(words.split()) - _OTHERWISE for lang, words in ABBREVIATIONS.items()}
 _SOMEWHERE = frozenset(w for ws in _NEVER.values() for w in ws)
 _MAY = frozenset(MAY_END)
+#: Words before a full stop that some rule is about.
+_RULED = _SOMEWHERE | _MAY | _OTHERWISE | BEFORE_NUMBER | AFTER_NUMBER | frozenset(t.lower() for t in TITLES)
 
 _ALL = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
 #: The end marks of all scripts, with the ellipsis, which reviewers end sentences with.
@@ -127,8 +129,12 @@ def _abbreviated(low: str, text: str, start: int, dot: int, language: Callable[[
 
 def _no_stop(text: str, start: int, dot: int, nxt: str, gap: bool, after: int, language: Callable[[str], str | None] | None = None) -> bool:
     """Whether a single full stop at ``dot`` belongs to an abbreviation, a number or an address."""
-    m = _WORD_BEFORE.search(text, max(start, dot - 40), dot)
-    token = m.group() if m else ""
+    piece = text[max(start, dot - 40) : dot].split()
+    token = piece[-1] if piece and not text[dot - 1].isspace() else ""
+    if not token.isalnum():
+        m = _WORD_BEFORE.search(token)
+        token = m.group() if m else ""
+    first = dot - len(token)
     for c in _IGNORE:
         token = token.replace(c, "")
     low = token.lower().strip(".")
@@ -155,9 +161,9 @@ def _no_stop(text: str, start: int, dot: int, nxt: str, gap: bool, after: int, l
         if low in AFTER_NUMBER and not regex.search(r"\d[\s\-]*\p{L}*$", text[max(start, dot - 12) : dot]):
             return False
         return not (nxt.isupper() or nxt.isdigit()) if nxt.lower() != nxt.upper() or nxt.isdigit() else False
-    if m and nxt.isupper() and token.strip("." + _IGNORE) in TITLES:
+    if token and nxt.isupper() and token.strip("." + _IGNORE) in TITLES:
         return True
-    if low and not _NUMBER_BEFORE.search(text, max(start, m.start() - 3), m.start()) and _abbreviated(low, text, start, dot, language):
+    if low and not _NUMBER_BEFORE.search(text, max(start, first - 3), first) and _abbreviated(low, text, start, dot, language):
         return True  # after a number it is a unit
     if len(low) == 1 and low.isalpha():
         # an initial, or part of a spaced abbreviation
@@ -209,6 +215,13 @@ def split(text: str | None, language: Callable[[str], str | None] | None = None)
         # end marks
         if enclosed is None:
             enclosed = [] if not _OPEN.search(text) else [(a + o, b + o) for o, line in _lines(text) for a, b in _enclosed(line)]
+        if not enclosed and end + 1 < n and text[end] == " " and text[end + 1].isalpha():
+            # most stops: one mark after a word that no rule is about, a blank, a letter
+            word = text[text.rfind(" ", start, i) + 1 : i]
+            if m.group() == "." and len(word) > 1 and word.isalpha() and word.lower() not in _RULED or end - i == 1 and text[i] in "!?":
+                cuts.append(end + 1)
+                start = pos = end + 1
+                continue
         at = bisect_left(enclosed, (i,)) - 1  # spans do not overlap
         inside = enclosed[at] if at >= 0 and i < enclosed[at][1] else None
         close = _CLOSE.match(text, end).end() if end < n and text[end] in _CLOSING else end
