@@ -186,7 +186,7 @@ def measures(rows: DataFrame, keys: list[str], text: str, lang: str | None, voc:
                 m2, m3 = sum(sizes) / k, sum([x >= LONG for x in sizes]) / k
                 if whole:
                     m1, m4 = _measured(k, [table_.get(w, end) for w in words])
-                    out.append((*ids, of, no, m1, m2, m3, m4, None, None))
+                    out.append((*ids, of, no, m1, m2, m3, m4))
                 else:
                     rank = [table_[w] for w in words if w in table_]
                     if len(rank) == k:
@@ -199,7 +199,7 @@ def measures(rows: DataFrame, keys: list[str], text: str, lang: str | None, voc:
         return one
 
     types = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in keys) + ", lang string, sent_no int, m1 double, m2 double, m3 double, m4 double, known_ array<bigint>, rare_ array<string>"
+    schema = ", ".join(f"{c} {types[c]}" for c in keys) + ", lang string, sent_no int, m1 double, m2 double, m3 double, m4 double" + ("" if voc.whole else ", known_ array<bigint>, rare_ array<string>")
     of = F.col(lang) if lang else F.lit(None).cast("string")
     got = map_rows(rows.where(F.col(text).rlike(r"\p{L}")).select(*keys, text, of.alias("of_")), schema, make)
     plain = [*keys, "lang", "sent_no", "m1", "m2", "m3", "m4"]
