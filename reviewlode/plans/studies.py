@@ -396,19 +396,24 @@ def _counted(name, sql, make):
     query(name, sql)(lambda spark, d: r6(make(spark, d)))
 
 
-_one = F.count(F.lit(1)).alias("n")
-_counted("fig_stars_by_label", " SELECT score::BIGINT AS score, label, count(*) AS n FROM r WHERE score IS NOT NULL GROUP BY ALL", lambda s, d: B.reviews(s, d).where("score IS NOT NULL").groupBy("score", "label").agg(_one))
-_counted("fig_months", " SELECT CAST(date_trunc('month', ts) AS DATE) AS month, count(*) AS n, round(avg(score), 6) AS mean_score FROM r WHERE ts IS NOT NULL GROUP BY 1", lambda s, d: B.reviews(s, d).where("at IS NOT NULL").groupBy(scalars.month("at").alias("month")).agg(_one, F.avg("score").alias("mean_score")))
-_counted("fig_complaints", " SELECT aspect, count(*) FILTER (sentiment_label = 'Negative') AS n_negative, count(*) AS n FROM a WHERE NOT is_request GROUP BY aspect ORDER BY n_negative DESC, aspect LIMIT 10", lambda s, d: B.aspects(s, d).where("NOT is_request").groupBy("aspect").agg(F.count_if(F.col("sentiment_label") == "Negative").alias("n_negative"), _one).orderBy(F.desc("n_negative"), "aspect").limit(10))
-_counted("fig_demand", " SELECT aspect, request_type, count(*) AS n FROM d WHERE aspect IS NOT NULL GROUP BY ALL", lambda s, d: B.demands(s, d).where("aspect IS NOT NULL").groupBy("aspect", "request_type").agg(_one))
+
+
+def _one():
+    return F.count(F.lit(1)).alias("n")
+
+
+_counted("fig_stars_by_label", " SELECT score::BIGINT AS score, label, count(*) AS n FROM r WHERE score IS NOT NULL GROUP BY ALL", lambda s, d: B.reviews(s, d).where("score IS NOT NULL").groupBy("score", "label").agg(_one()))
+_counted("fig_months", " SELECT CAST(date_trunc('month', ts) AS DATE) AS month, count(*) AS n, round(avg(score), 6) AS mean_score FROM r WHERE ts IS NOT NULL GROUP BY 1", lambda s, d: B.reviews(s, d).where("at IS NOT NULL").groupBy(scalars.month("at").alias("month")).agg(_one(), F.avg("score").alias("mean_score")))
+_counted("fig_complaints", " SELECT aspect, count(*) FILTER (sentiment_label = 'Negative') AS n_negative, count(*) AS n FROM a WHERE NOT is_request GROUP BY aspect ORDER BY n_negative DESC, aspect LIMIT 10", lambda s, d: B.aspects(s, d).where("NOT is_request").groupBy("aspect").agg(F.count_if(F.col("sentiment_label") == "Negative").alias("n_negative"), _one()).orderBy(F.desc("n_negative"), "aspect").limit(10))
+_counted("fig_demand", " SELECT aspect, request_type, count(*) AS n FROM d WHERE aspect IS NOT NULL GROUP BY ALL", lambda s, d: B.demands(s, d).where("aspect IS NOT NULL").groupBy("aspect", "request_type").agg(_one()))
 _counted("fig_promises", " SELECT aspect, count(*) FILTER (description_claimed) AS n_claimed, count(*) FILTER (feature_present >= 1) AS n_present FROM f GROUP BY aspect", lambda s, d: B.features(s, d).groupBy("aspect").agg(F.count_if("description_claimed").alias("n_claimed"), F.count_if(F.col("feature_present") >= 1).alias("n_present")))
 _counted("fig_bloat", _COUNTS + " SELECT feature_count, count(*) AS n_apps, round(avg(mean_score), 6) AS mean_score FROM z GROUP BY feature_count", lambda s, d: _counts(s, d).groupBy("feature_count").agg(F.count(F.lit(1)).alias("n_apps"), F.avg("mean_score").alias("mean_score")))
 _counted("fig_tiers", """, t AS (SELECT app, CASE WHEN max(CASE WHEN aspect = 'tracker' THEN feature_present END) >= 1 THEN CASE WHEN max(CASE WHEN aspect = 'reminders' THEN feature_present END) >= 1 THEN 'extended' ELSE 'plain' END ELSE 'none' END AS tier FROM f GROUP BY app)
-  SELECT tier, score::BIGINT AS score, count(*) AS n FROM r JOIN t USING (app) WHERE score IS NOT NULL GROUP BY ALL""", lambda s, d: B.reviews(s, d).where("score IS NOT NULL").join(F.broadcast(gaps.tracker_tier(B.features(s, d), "tracker", "reminders")), "app").groupBy("tier", "score").agg(_one))
+  SELECT tier, score::BIGINT AS score, count(*) AS n FROM r JOIN t USING (app) WHERE score IS NOT NULL GROUP BY ALL""", lambda s, d: B.reviews(s, d).where("score IS NOT NULL").join(F.broadcast(gaps.tracker_tier(B.features(s, d), "tracker", "reminders")), "app").groupBy("tier", "score").agg(_one()))
 _counted("fig_affect", r""" SELECT app, count(*) AS n, round(avg(CASE WHEN regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])(guilt|anxious|anxiety|pressure|ashamed|shame|stress|depress|fail|bad about)') THEN 1.0 ELSE 0 END), 6) AS guilt, round(avg(CASE WHEN regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])(motivat|encourag|discipline|consisten|barakah|closer to allah|helpful|improve|habit)') THEN 1.0 ELSE 0 END), 6) AS motivation FROM r WHERE corpus_text GROUP BY app""",
-    lambda s, d: B.reviews(s, d).where("corpus_text").groupBy("app").agg(_one, relational.rate(F.lower("text").rlike(patterns.stems(patterns.GUILT))).alias("guilt"), relational.rate(F.lower("text").rlike(patterns.stems(patterns.MOTIVATION))).alias("motivation")))
-_counted("fig_reply_delay", " SELECT floor(least(days_to_reply, 60))::BIGINT AS days, count(*) AS n FROM r WHERE days_to_reply IS NOT NULL GROUP BY 1", lambda s, d: B.reviews(s, d).where("days_to_reply IS NOT NULL").groupBy(F.floor(F.least("days_to_reply", F.lit(60.0))).alias("days")).agg(_one))
+    lambda s, d: B.reviews(s, d).where("corpus_text").groupBy("app").agg(_one(), relational.rate(F.lower("text").rlike(patterns.stems(patterns.GUILT))).alias("guilt"), relational.rate(F.lower("text").rlike(patterns.stems(patterns.MOTIVATION))).alias("motivation")))
+_counted("fig_reply_delay", " SELECT floor(least(days_to_reply, 60))::BIGINT AS days, count(*) AS n FROM r WHERE days_to_reply IS NOT NULL GROUP BY 1", lambda s, d: B.reviews(s, d).where("days_to_reply IS NOT NULL").groupBy(F.floor(F.least("days_to_reply", F.lit(60.0))).alias("days")).agg(_one()))
 _counted("fig_length_by_score", " SELECT score::BIGINT AS score, round(median(n_words), 6) AS median_words, round(avg(n_words), 6) AS mean_words FROM r WHERE score IS NOT NULL GROUP BY 1", lambda s, d: B.reviews(s, d).where("score IS NOT NULL").groupBy("score").agg(F.median("n_words").alias("median_words"), F.avg("n_words").alias("mean_words")))
-_counted("fig_scripts", r" SELECT app, script, count(*) AS n FROM (SELECT app, CASE WHEN greatest(bn, ar, en) = 0 THEN 'unk' WHEN bn >= ar AND bn >= en THEN 'bn' WHEN ar >= en THEN 'ar' ELSE 'en' END AS script FROM (SELECT app, length(regexp_replace(text, '[^\x{980}-\x{9FF}]', '', 'g')) AS bn, length(regexp_replace(text, '[^\x{600}-\x{6FF}]', '', 'g')) AS ar, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS en FROM r)) GROUP BY ALL", lambda s, d: B.reviews(s, d).groupBy("app", text.script_guess("text").alias("script")).agg(_one))
+_counted("fig_scripts", r" SELECT app, script, count(*) AS n FROM (SELECT app, CASE WHEN greatest(bn, ar, en) = 0 THEN 'unk' WHEN bn >= ar AND bn >= en THEN 'bn' WHEN ar >= en THEN 'ar' ELSE 'en' END AS script FROM (SELECT app, length(regexp_replace(text, '[^\x{980}-\x{9FF}]', '', 'g')) AS bn, length(regexp_replace(text, '[^\x{600}-\x{6FF}]', '', 'g')) AS ar, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS en FROM r)) GROUP BY ALL", lambda s, d: B.reviews(s, d).groupBy("app", text.script_guess("text").alias("script")).agg(_one()))
 
 __all__ = ["QUERIES", "SQL"]
